@@ -136,11 +136,18 @@ def _padded_side(name: str) -> str:
         GROUP BY word"""
 
 
-def _shingles_sql(text: str) -> str:
-    padded = f"({text} || repeat(chr({ord(PAD)}), {PADDED_LEN}))"
+def _shingles_sql(neighbour: str) -> str:
+    """The character at each position and the next PADDED_LEN on one side."""
+    more = " || ".join(
+        f"coalesce({neighbour}(ch, {i}) OVER w, chr({ord(PAD)}))"
+        for i in range(1, PADDED_LEN + 1)
+    )
     return f"""
-        SELECT doc_id, substr({padded}, i, {PADDED_LEN + 1}) AS s
-        FROM washed, unnest(range(1, length(text) + 1)) AS a(i)"""
+        SELECT doc_id, ch || {more} AS s
+        FROM (SELECT doc_id, unnest(range(length(text))) AS i,
+                     unnest(string_split(text, '')) AS ch
+              FROM washed WHERE text <> '')
+        WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
 
 
 # Common table expressions, each with the ones it reads.  "!" marks those that
@@ -221,7 +228,7 @@ _PARTS: dict[str, tuple[str, str]] = {
         SELECT doc_id, regexp_replace(text, '[^{LATIN}]', '', 'g') AS text
         FROM documents""",
     ),
-    "shingle_rows": ("washed", _shingles_sql("text")),
+    "shingle_rows": ("washed", _shingles_sql("lead")),
     "right_freedom_shingles": (
         "shingle_rows",
         "SELECT s, count(*) AS c FROM shingle_rows GROUP BY s",
@@ -229,7 +236,7 @@ _PARTS: dict[str, tuple[str, str]] = {
     "left_freedom_shingles": (
         "washed",
         "SELECT s, count(*) AS c FROM "
-        f"({_shingles_sql('reverse(text)')}) GROUP BY s",
+        f"({_shingles_sql('lag')}) GROUP BY s",
     ),
     "pgrams": (
         "right_freedom_shingles",
@@ -291,7 +298,7 @@ def _rounded(cols: str) -> str:
     return ", ".join(out)
 
 
-_FEATURES = _rounded("word freq *freedom *cohesion")
+_FEATURES = _rounded("word freq *freedom cohesion")
 _STOPPED = "word NOT IN (SELECT word FROM stops)"
 _STRICT = f"length(word) BETWEEN 2 AND {MAX_LEN} AND freq > {MIN_FREQ}"
 _NO_DIGITS = "NOT regexp_matches(word, '^[0-9]+$')"
@@ -525,7 +532,7 @@ def all_oracles() -> dict[str, str]:
         "lexicon_envelope": _with(
             "env",
             "SELECT "
-            + _rounded("*freedom_low *freedom_high *cohesion_low *cohesion_high")
+            + _rounded("*freedom_low *freedom_high cohesion_low cohesion_high")
             + " FROM env",
         ),
         "rule_all3": _with("feat", _pick(_ALL3)),
@@ -535,7 +542,7 @@ def all_oracles() -> dict[str, str]:
         "rule_strict": _with("feat", _pick("freedom > 1.7 AND cohesion > 23")),
         "rule_vote": _with("feat", _pick(_VOTE)),
         "assoc_ksi": _measure("ksi", "ksi", log=True),
-        "assoc_dice": _measure(_DICE, "dice"),
+        "assoc_dice": _with("measures", f"SELECT word, {_DICE} AS dice FROM measures"),
         "assoc_mi": _measure(_MI, "mi"),
         "assoc_scp": _measure(_SCP, "scp", log=True),
         "assoc_zscore": _measure(_Z, "zscore"),
@@ -554,7 +561,7 @@ def all_oracles() -> dict[str, str]:
         "score_weighted": _with("chosen", _score_sql()),
         "rank_freq": _with("feat", _ranked("freq", "freq")),
         "rank_cohesion": _with(
-            "feat", _ranked("cohesion", "round(cohesion, 6) AS cohesion")
+            "feat", _ranked("cohesion", "cohesion")
         ),
         "rank_freedom": _with(
             "feat", _ranked("freedom", "round(freedom, 6) AS freedom")
@@ -578,22 +585,18 @@ def all_oracles() -> dict[str, str]:
         "discover_v31": _with(
             "feat_short measures stops",
             f"""
-            SELECT word, f.freq, round(freedom, 6) AS freedom,
-                   round(cohesion, 6) AS cohesion, round({_DICE}, 6) AS dice,
-                   round({_MI}, 6) AS mi, round({_SCP}, 6) AS scp,
-                   round({_Z}, 6) AS zscore, round({_T}, 6) AS tscore
-            FROM feat_short f JOIN (SELECT * EXCLUDE (freq), freq FROM measures) m
-                 USING (word, freq)
+            SELECT word, freq, round(freedom, 6) AS freedom, cohesion,
+                   {_DICE} AS dice, round({_MI}, 6) AS mi,
+                   round({_SCP}, 6) AS scp, round({_Z}, 6) AS zscore,
+                   round({_T}, 6) AS tscore
+            FROM feat_short JOIN measures USING (word, freq)
             WHERE freq > {MIN_FREQ} AND freedom > 0 AND cohesion >= {COHESION_LOW}
-              AND {_STOPPED} AND {_edges('.-')} AND {_NO_DIGITS}""".replace(
-                "f.freq", "freq"
-            ),
+              AND {_STOPPED} AND {_edges('.-')} AND {_NO_DIGITS}""",
         ),
         "discover_padded": _with(
             "pfree pcoh",
             """
-            SELECT word, pfree.freq, round(freedom, 6) AS freedom,
-                   round(cohesion, 6) AS cohesion
+            SELECT word, pfree.freq, round(freedom, 6) AS freedom, cohesion
             FROM pfree JOIN pcoh USING (word)
             WHERE freedom > 1.7 AND cohesion > 23""",
         ),
