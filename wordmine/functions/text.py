@@ -94,7 +94,7 @@ def chunks(text: Column | str, n: int) -> Column:
     a string; on pieces of fixed size, cutting up a text stays linear in its
     length, and no row ever holds all n-grams of one text.
     """
-    piece = rf"(?=([\s\S]{{1,{CHUNK + n - 1}}}))[\s\S]{{1,{CHUNK}}}"
+    piece = f"(?s)(?=(.{{1,{CHUNK + n - 1}}})).{{1,{CHUNK}}}"
     col = F.col(text) if isinstance(text, str) else text
     return F.when(F.length(col) <= CHUNK, F.array(col)).otherwise(
         F.regexp_extract_all(col, F.lit(piece), F.lit(1))
@@ -103,4 +103,4 @@ def chunks(text: Column | str, n: int) -> Column:
 
 def characters(word: Column | str) -> Column:
     """Array of the characters of a word."""
-    return F.regexp_extract_all(word, F.lit(r"[\s\S]"), F.lit(0))
+    return F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0))

@@ -6,7 +6,7 @@ per distinct n-gram.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmine.functions import text as tx
@@ -46,6 +46,18 @@ def explode_ngrams(clauses: DataFrame, n: int, col: str = "clause") -> DataFrame
     return _prefixes(_windows(clauses, col, n))
 
 
+def _dictionary(df: DataFrame, col: str, n: int, weight: Column) -> DataFrame:
+    """Count all substrings of length 1..n in two steps.
+
+    First the windows of width n, one per character; then their prefixes.  An
+    n-gram row is written for each *distinct* window only, so the first shuffle
+    carries one row per character instead of n, and the second one what is left
+    after equal windows from the whole corpus have met.
+    """
+    counted = _windows(df, col, n).groupBy("s").agg(F.sum(weight).alias("n"))
+    return _prefixes(counted).groupBy("word").agg(F.sum("n").alias("freq"))
+
+
 def count_ngrams(clauses: DataFrame, n: int, weight: str | None = None) -> DataFrame:
     """N-gram dictionary of all substrings of length 1..n.
 
@@ -55,8 +67,7 @@ def count_ngrams(clauses: DataFrame, n: int, weight: str | None = None) -> DataF
     if weight is None:
         clauses = clauses.groupBy("clause").agg(F.count(F.lit(1)).alias("w"))
         weight = "w"
-    grams = explode_ngrams(clauses.select("clause", weight), n)
-    return grams.groupBy("word").agg(F.sum(weight).alias("freq"))
+    return _dictionary(clauses.select("clause", weight), "clause", n, F.col(weight))
 
 
 def corpus_ngrams(df: DataFrame, n: int, text_col: str = "text") -> DataFrame:
@@ -99,10 +110,7 @@ def padded_ngrams(
     padded = washed.where(F.col(col) != "").select(
         F.concat(F.lit(pad), F.col(col), F.lit(pad)).alias(col)
     )
-    distinct = (
-        _windows(padded, col, w + 1).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    )
-    grams = _prefixes(distinct).groupBy("word").agg(F.sum("n").alias("freq"))
+    grams = _dictionary(padded, col, w + 1, F.lit(1))
     return grams.where(F.col("word") != pad)
 
 
