@@ -245,3 +245,51 @@ def test_extensions_and_reversal(spark):
     assert sorted(r.extension for r in right) == ["ab", "ac"]
     assert [(r.extension, r.extension_freq) for r in left] == [("ca", 1)]
     assert "ba" in as_dict(ngrams.reverse_grams(grams), "freq")
+
+
+def test_same_result_when_nothing_is_small(spark, words):
+    """Shuffled joins, with partitions split as if they were overfull."""
+    stop = words("the", "of", "and")
+    expected = sorted(discover_v1(small(spark), stop, word_filter=4).collect())
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1b",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1kb",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = discover_v1(small(spark), stop, word_filter=4)
+        assert sorted(found.collect()) == expected
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def plan_of(df, capsys):
+    capsys.readouterr()
+    df.explain("formatted")
+    return capsys.readouterr().out
+
+
+def test_counting_plan(spark, capsys):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stats = freedom.word_statistics(ngrams.corpus_ngrams(docs, 6), 5, 24)
+    plan = plan_of(stats, capsys)
+    assert "ReadSchema: struct<text:string>" in plan
+    tree = plan.split("(1) Scan")[0]
+    assert tree.count("Exchange") == 4
+    assert "Join" not in tree and "Python" not in tree
+
+
+def test_lookup_plan(spark, capsys):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    known = discover.frequent_words(docs, 5, 24)
+    words = filters.by_length_freq(known, 5, 24)
+    plan = plan_of(discover.features(words, known, 5), capsys)
+    assert "GreaterThanOrEqual(freq,24)" in plan
+    assert "right_freedom" not in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

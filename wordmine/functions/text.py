@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 # The characters that end a clause.
 CLAUSE_MARKS = ",，.。!！?？;；:：'‘’\"”“、(（)）<《>》[【】]{} \t\r\n"
 
-# The characters that may stay inside a clause.
+# The characters that may stay inside a clause, as the inside of
+# a regex class.  \p{Alnum} is a-z, A-Z and 0-9.
 CJK = "一-龥"
-LATIN_AND_DIGITS = "a-zA-Z0-9"
-MARKS_IN_WORDS = "*-.\\"
+LATIN = r"\p{Alnum}*\-.\\"
 
 # Text that breaks a clause after cleaning (escape sequences
 # written out as letters, and runs of eight or more digits).
@@ -47,7 +47,7 @@ _DIGIT = r"[\p{Nd}&&[\x{0}-\x{FFFF}]]"
 # A run of clause marks; a full stop between two digits is not one of them.
 CLAUSE_END = rf"(?:{_mark_class()}(?<!{_DIGIT}\.(?={_DIGIT})))+"
 
-_KEPT = rf"\p{{Alnum}}*\-.\\[\u0080-￿&&[{CJK}]]"
+_KEPT = rf"{LATIN}[\u0080-\uffff&&[{CJK}]]"
 NOT_MEANINGFUL = f"[^{_KEPT}]"
 NOT_MEANINGFUL_OR_NEWLINE = rf"[^\n{_KEPT}]"
 
