@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 
 from wordmine import (
@@ -75,3 +77,12 @@ def test_materialize_writes_to_the_named_folder(spark):
     back = materialize(df)
     assert back.schema.names == ["id"] and back.count() == 3
     assert all(checkpoint_dir(spark) in f for f in back.inputFiles())
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    cluster = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: default),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"),
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(cluster)

@@ -10,16 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder that all executors share, as named by ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(
                 "set spark.checkpoint.dir to a folder that all executors can reach"
             )
-        folder = tempfile.mkdtemp(prefix="wordmine-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="wordmine-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
