@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import model
@@ -82,3 +83,19 @@ def test_wash_and_unify(corpus):
     assert clean.unify(df).first().text == "蝴Ab12蝶,é１〇九"
     both = clean.unify(df, case=True, digits=True).first().text
     assert both == "蝴ab12蝶,é109"
+
+
+def test_random_texts_against_the_model(corpus):
+    rng = random.Random(11)
+    bits = list(",，。.. ..\n[]{}()X*-|é　１２0123456789ab蝴龥龦一") + [r"\n", r"\r\n", r"\t", "\\"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(60))) for _ in range(600)]
+    rows = clean.clauses(corpus(*texts)).orderBy("doc_id", "pos").collect()
+    got = {i: [] for i in range(len(texts))}
+    for r in rows:
+        got[r.doc_id].append(r.clause)
+    assert got == {i: model.clauses(t) for i, t in enumerate(texts)}
+    weighted = clean.weighted_clauses(corpus(*texts)).collect()
+    counted = Counter()
+    for r in weighted:
+        counted[r.clause] += r.w
+    assert counted == Counter(c for t in texts for c in model.clauses(t))
