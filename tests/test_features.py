@@ -120,6 +120,12 @@ def test_texts_longer_than_a_piece(corpus):
         assert got == model.ngrams(texts, n)
 
 
+def test_empty_strings_hold_no_ngram(corpus):
+    df = corpus("", "ab").withColumnRenamed("text", "clause")
+    grams = ngrams.explode_ngrams(df, 3)
+    assert sorted(r.word for r in grams.collect()) == ["a", "ab", "b"]
+
+
 def test_result_does_not_depend_on_partitions(spark, words):
     docs = small(spark)
     stop = words("the", "of")

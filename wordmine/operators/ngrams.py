@@ -16,7 +16,9 @@ from wordmine.operators.clean import weighted_clauses
 def _windows(df: DataFrame, col: str, n: int) -> DataFrame:
     """One row per position with the up to n characters from there on, as ``s``."""
     others = [c for c in df.columns if c != col]
-    pieces = df.select(*others, F.explode(tx.chunks(col, n)).alias("s"))
+    # sequence(1, 0) would count down, so empty texts have to go first.
+    texts = df.where(F.col(col) != "")
+    pieces = texts.select(*others, F.explode(tx.chunks(col, n)).alias("s"))
     starts = F.least(F.length("s"), F.lit(tx.CHUNK))
     placed = pieces.select(
         *others, "s", F.explode(F.sequence(F.lit(1), starts)).alias("at")
