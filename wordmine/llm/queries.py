@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmine.llm import idfiles, packing, tokens
+from wordmine.llm import decontaminate, idfiles, packing, tokens
 from wordmine.session import checkpoint_dir, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,8 @@ def op10_token_id_files(spark, sf):
     out = f"{checkpoint_dir(spark)}/wordmine-ids-{uuid.uuid4().hex}"
     idfiles.write_ids(ids, out, tokens.id_type(path).str)
     return idfiles.read_ids(spark, out, digest=True)
+
+
+@query
+def op1_decontamination(spark, sf):
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
