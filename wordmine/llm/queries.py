@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmine.llm import decontaminate, idfiles, packing, tokens
+from wordmine.llm import decontaminate, idfiles, jaccard, packing, tokens
 from wordmine.session import checkpoint_dir, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,8 @@ def op10_token_id_files(spark, sf):
 @query
 def op1_decontamination(spark, sf):
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op6_ngram_jaccard_join(spark, sf):
+    return jaccard.near_duplicate_groups(table(spark, sf, "documents"))
