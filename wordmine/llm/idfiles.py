@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordmine.llm.textbytes import text_bytes
+
 #: Ids in a block, at least; a longer document is one block.
 BLOCK_IDS = 1 << 20
 
@@ -77,19 +79,20 @@ def decode(control: bytes, data: bytes, lengths: np.ndarray) -> np.ndarray:
 # Ranks
 
 
+def _all_ids(column: pa.Array, dtype: str) -> np.ndarray:
+    """The ids of all documents of a batch, end to end."""
+    return np.frombuffer(text_bytes(column)[0], dtype)
+
+
 def count_ids(tokens: DataFrame, dtype: str) -> DataFrame:
     """``id, n`` over all documents; each task sends one row per id at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
+        counts = np.zeros(1 << 8 * np.dtype(dtype).itemsize if dtype == "<u2" else 0, np.int64)
         for batch in batches:
-            for value in batch.column("ids"):
-                if not value.is_valid:
-                    continue
-                own = np.bincount(np.frombuffer(value.as_buffer(), dtype))
-                if len(own) > len(counts):
-                    counts = np.concatenate((counts, np.zeros(len(own) - len(counts), np.int64)))
-                counts[: len(own)] += own
+            own = np.bincount(_all_ids(batch.column("ids"), dtype), minlength=len(counts))
+            own[: len(counts)] += counts
+            counts = own
         ids = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(counts[ids])], names=["id", "n"]
@@ -180,7 +183,7 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     parts = parts.select(
         F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip")
     )
-    placed = blocks.join(parts, F.col("part") == F.col("p"))
+    placed = blocks.join(F.broadcast(parts), F.col("part") == F.col("p"))
     placed = placed.select(
         (F.col("first") + F.col("skip")).alias("first"), "doc_ids", "lengths", "control", "data"
     )
