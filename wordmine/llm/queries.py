@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmine.llm import decontaminate, idfiles, jaccard, packing, tokens
+from wordmine.llm import decontaminate, idfiles, jaccard, langid, packing, tokens
 from wordmine.session import checkpoint_dir, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,9 @@ def op1_decontamination(spark, sf):
 @query
 def op6_ngram_jaccard_join(spark, sf):
     return jaccard.near_duplicate_groups(table(spark, sf, "documents"))
+
+
+@query
+def op5_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    return langid.predictions(docs, langid.fit(docs))
