@@ -176,7 +176,7 @@ def _slots(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return table[np.lexsort((table[:, 1], table[:, 0]))]
 
 
-def pack(pieces: DataFrame, size: int = SIZE, per_group: int = 10_000) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SIZE, per_group: int = 1_000) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a column ``length``.
 
     ``pieces`` is read twice, so it should be a stored table.  Pieces of one

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmine.llm import decontaminate, idfiles, jaccard, langid, packing, tokens
+from wordmine.llm import decontaminate, idfiles, jaccard, langid, packing, pii, tokens
 from wordmine.session import checkpoint_dir, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,9 @@ def op6_ngram_jaccard_join(spark, sf):
 def op5_language_id(spark, sf):
     docs = table(spark, sf, "documents")
     return langid.predictions(docs, langid.fit(docs))
+
+
+@query
+def op2_personal_data(spark, sf):
+    docs = table(spark, sf, "documents")
+    return pii.find(docs, pii.fit(docs))

@@ -190,7 +190,7 @@ def encode_batches(
     """Slices of the batches with the ids and offsets of their column ``text``."""
     encode = encoder(path).encode
     for batch in batches:
-        for start, stop in runs(batch.column("text")):
+        for start, stop in runs(batch.column("text"), 8 << 20):
             part = batch.slice(start, stop - start)
             yield part, *encode(part.column("text"))
 
