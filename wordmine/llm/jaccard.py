@@ -14,13 +14,16 @@ How the lists are spread over Spark:
    them, however large the corpus.  They come last in the order in which lists
    are merged; among the rest the order is that of the hashes.
 2. A second pass sends the first n - T + need shingles of each set to the list
-   of the shingle.  Lists with one member are dropped.
-3. Lists of at most ``LONG`` members are merged: pairs of fitting sizes are
-   counted within the task and summed over the tasks.  Pairs that reach
-   ``need`` are probed.
+   of the shingle.  Lists with one member are dropped; each of them is a shingle
+   that its set shares with nobody.  So a set is left with a number of shingles
+   that it may share, and it is dropped where that is too small for any partner.
+3. Lists of at most ``LONG`` members are merged: pairs whose sizes, and shingles
+   that they may share, fit are counted within the task and summed over the
+   tasks.  Pairs that reach ``need`` are probed.
 4. What remains are the longer lists, most of them of one large group of near
-   copies.  Neighbours in such a list are probed first, which joins the group.
-   Then only pairs are merged that are not yet known to be connected.
+   copies.  The members that share most are its hubs; the others are probed
+   against them first, which joins the group.  Then only pairs are merged that
+   are not yet known to be connected.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmine.llm.components import components
@@ -42,9 +45,9 @@ PERCENT = 75
 #: Share of a task's texts from which a shingle comes last in the order.
 HOT_SHARE = 0.001
 #: Members from which a list counts as long.
-LONG = 128
-#: Neighbours probed on each side of a member of a long list.
-NEAR = 3
+LONG = 16
+#: Members of a long list that the others are probed against.
+HUBS = 2
 #: Ids up to which the texts to probe are picked by a broadcast (16 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -171,9 +174,9 @@ def _posting_rows(hot: np.ndarray):
 # Lists
 
 
-def _fitting(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Can sets of these sizes link at all?"""
-    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+def _fitting(n: np.ndarray, m: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Can sets of sizes n, m link that may share u, v of their shingles at most?"""
+    return (100 + PERCENT) * np.minimum(u, v) >= PERCENT * (n + m)
 
 
 class PairCounts:
@@ -237,7 +240,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_groups(columns: list[np.ndarray], bounds: np.ndarray, pairs: PairCounts) -> None:
-    _, sig, n, comp, side = columns
+    _, sig, n, u, comp, side = columns
     sizes = np.diff(bounds)
     # Small groups of one size are handled together: row g holds group g.
     for size in np.unique(sizes).tolist():
@@ -249,14 +252,14 @@ def _count_groups(columns: list[np.ndarray], bounds: np.ndarray, pairs: PairCoun
         for k in range(0, len(starts), step):
             own = starts[k : k + step, None]
             x, y = (own + i).ravel(), (own + j).ravel()
-            keep = _fitting(n[x], n[y]) & (comp[x] != comp[y])
+            keep = _fitting(n[x], n[y], u[x], u[y]) & (comp[x] != comp[y])
             keep &= (side[x] == 2) | (side[x] != side[y])
             pairs.add(sig, n, x[keep], y[keep])
 
 
 def _merge(rows: DataFrame) -> DataFrame:
-    """``a, b, na, nb, c`` over all groups of ``key, sig, n, comp, side``."""
-    ordered = rows.select("key", "sig", "n", "comp", "side")
+    """``a, b, na, nb, c`` over all groups of ``key, sig, n, u, comp, side``."""
+    ordered = rows.select("key", "sig", "n", "u", "comp", "side")
     ordered = ordered.repartition("key").sortWithinPartitions("key")
     counted = ordered.mapInArrow(_merged, _PAIRS)
     return counted.groupBy("a", "b").agg(
@@ -276,12 +279,19 @@ def _tiles(rows: DataFrame, block: int) -> DataFrame:
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     # A block meets itself in its own tile; in the others only across.
-    return rows.select(F.xxhash64("shingle", low, high).alias("key"), "sig", "n", "comp", side.alias("side"))
+    return rows.select(F.xxhash64("shingle", low, high).alias("key"), "sig", "n", "u", "comp", side.alias("side"))
 
 
-def _reached() -> F.Column:
-    need = lambda n: F.least(F.floor(F.col(n) / 16) + 1, F.ceil(F.col(n) * PERCENT / 100))
-    return F.col("c") >= F.least(need("na"), need("nb"))
+def _least(n: Column) -> Column:
+    return F.ceil(n * PERCENT / 100)
+
+
+def _need(n: Column) -> Column:
+    return F.least(F.floor(n / 16) + 1, _least(n))
+
+
+def _reached() -> Column:
+    return F.col("c") >= F.least(_need(F.col("na")), _need(F.col("nb")))
 
 
 # Probes
@@ -376,23 +386,32 @@ def jaccard_join(docs: DataFrame, block: int = 4096) -> tuple[DataFrame, DataFra
         "n",
         F.expr(f"first(sig) {whole} <> last(sig) {whole}").alias("shared"),
         F.expr("lag(sig) over (partition by shingle order by sig)").alias("before"),
-        F.expr(f"count(*) {whole}").alias("m"),
     )
-    lists = lists.where("shared and (before is null or before <> sig)").drop("shared", "before")
+    lists = lists.where("shared and (before is null or before <> sig)").select("shingle", "sig", "n")
+    lists = materialize(lists)
+    alive = lists.groupBy("sig").agg(F.count("*").alias("k"), F.max("n").alias("size"))
+    smallest = _least(F.col("size"))
+    alive = alive.where(F.col("k") >= _need(smallest)).select(
+        F.col("sig").alias("s"),
+        (F.col("k") + smallest - _need(F.col("size"))).cast("int").alias("u"),
+    )
+    lists = lists.join(alive, F.col("sig") == F.col("s")).select("shingle", "sig", "n", "u")
+    lists = lists.withColumn("m", F.count("*").over(Window.partitionBy("shingle"))).where("m > 1")
     lists = materialize(lists)
 
     short = lists.where(F.col("m") <= LONG).select(
-        F.col("shingle").alias("key"), "sig", "n", F.col("sig").alias("comp"), F.lit(2).alias("side")
+        F.col("shingle").alias("key"), "sig", "n", "u", F.col("sig").alias("comp"), F.lit(2).alias("side")
     )
     short = materialize(_merge(short))
     long_lists = lists.where(F.col("m") > LONG)
-    ordered = Window.partitionBy("shingle").orderBy("sig")
-    ahead = [F.lead(F.struct("sig", "n"), k).over(ordered) for k in range(1, NEAR + 1)]
-    near = long_lists.select("sig", "n", F.array(*ahead).alias("ahead"))
-    near = near.select("sig", "n", F.explode("ahead").alias("x")).where("x is not null")
-    near = near.groupBy(F.col("sig").alias("a"), F.col("x.sig").alias("b")).agg(
-        F.max("n").alias("na"), F.max("x.n").alias("nb"), F.count("*").alias("c")
-    )
+    by_share = Window.partitionBy("shingle").orderBy(F.desc(F.col("u") / F.col("n")), "sig")
+    by_share = by_share.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hubs = [F.nth_value(F.struct("sig", "n"), k).over(by_share) for k in range(1, HUBS + 1)]
+    near = long_lists.select("sig", "n", F.array(*hubs).alias("hubs"))
+    near = near.select("sig", "n", F.explode("hubs").alias("x")).where("sig <> x.sig")
+    near = near.groupBy(
+        F.least("sig", "x.sig").alias("a"), F.greatest("sig", "x.sig").alias("b")
+    ).agg(F.max("n").alias("na"), F.max("x.n").alias("nb"), F.count("*").alias("c"))
     tried = short.unionByName(near).where(_reached()).select("a", "b").distinct()
     tried = materialize(tried)
     links = materialize(_by_documents(_probe(docs, sets, tried), sets))
