@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmine.llm import decontaminate, idfiles, jaccard, langid, packing, pii, tokens
+from wordmine.llm import decontaminate, idfiles, jaccard, langid, packing, pii, quality, tokens
 from wordmine.session import checkpoint_dir, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,9 @@ def op5_language_id(spark, sf):
 def op2_personal_data(spark, sf):
     docs = table(spark, sf, "documents")
     return pii.find(docs, pii.fit(docs))
+
+
+@query
+def op4_ordinal_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality.grade(docs, quality.fit(docs, quality.grades_of(table(spark, sf, "labels"))))
