@@ -291,7 +291,14 @@ def _need(n: Column) -> Column:
 
 
 def _reached() -> Column:
-    return F.col("c") >= F.least(_need(F.col("na")), _need(F.col("nb")))
+    """Can a pair with ``c`` common merged lists link?
+
+    What two sets share and neither has beyond its merged lists is in ``c``; so
+    they share ``c`` and what one of them skips, n - prefix = T - need, at most.
+    """
+    na, nb = F.col("na"), F.col("nb")
+    skipped = F.greatest(_least(na) - _need(na), _least(nb) - _need(nb))
+    return (100 + PERCENT) * (F.col("c") + skipped) >= PERCENT * (na + nb)
 
 
 # Probes
