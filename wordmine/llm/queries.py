@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmine.llm import decontaminate, idfiles, jaccard, langid, packing, pii, quality, tokens
+from wordmine.llm import decontaminate, idfiles, jaccard, langid, ngramllr, packing, pii, quality, sharding, tokens, urls
 from wordmine.session import checkpoint_dir, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,21 @@ def op2_personal_data(spark, sf):
 def op4_ordinal_quality(spark, sf):
     docs = table(spark, sf, "documents")
     return quality.grade(docs, quality.fit(docs, quality.grades_of(table(spark, sf, "labels"))))
+
+
+@query
+def op7_url_trees(spark, sf):
+    pages = table(spark, sf, "pages")
+    return urls.judge(pages, urls.UrlModel(urls.labelled_by_rules(pages)))
+
+
+@query
+def op8_sampled_splitters(spark, sf):
+    return sharding.shard(table(spark, sf, "documents"))
+
+
+@query
+def op9_ngram_ratio_rules(spark, sf):
+    docs = table(spark, sf, "documents")
+    weights = ngramllr.bucket_weights(docs, ngramllr.trusted_ids(table(spark, sf, "labels")))
+    return ngramllr.judged(docs, materialize(weights))
