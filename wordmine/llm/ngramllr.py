@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 #: Mean log ratio from which a text is kept.
-LEAST_RATIO = -0.35
+LEAST_RATIO = -0.12
 #: Added to every bucket's count.
 SMOOTHING = 1.0
 #: Trusted ids up to which they are sent to every task (32 MB).
