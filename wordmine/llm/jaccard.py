@@ -180,68 +180,111 @@ def _fitting(n: np.ndarray, m: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.n
 
 
 class PairCounts:
-    """Pairs met in a task and how often, handed on now and then."""
+    """Pairs and how often they were met."""
 
     MOST = 2_000_000
 
     def __init__(self):
-        self.a, self.b, self.na, self.nb, self.size = [], [], [], [], 0
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size, self.seen, self.part = 0, [], None
 
     def add(self, sig: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         swap = sig[i] > sig[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        for held, values in ((self.a, sig[i]), (self.b, sig[j]), (self.na, n[i]), (self.nb, n[j])):
-            held.append(values)
+        self.held.append((sig[i], sig[j], n[i], n[j], np.ones(len(i), np.int64)))
         self.size += len(i)
+        if self.size > self.MOST:
+            self.compact()
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        if not self.size:
-            return
-        a, b, na, nb = (np.concatenate(x) for x in (self.a, self.b, self.na, self.nb))
-        self.__init__()
+    def compact(self) -> tuple[np.ndarray, ...]:
+        """Every pair once."""
+        a, b, na, nb, times = (np.concatenate(x) for x in zip(*self.held, strict=True))
         order = np.lexsort((b, a))
-        a, b, na, nb = a[order], b[order], na[order], nb[order]
+        a, b, na, nb, times = a[order], b[order], na[order], nb[order], times[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         at = np.flatnonzero(new)
-        times = np.diff(np.append(at, len(a)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (a[at], b[at], na[at], nb[at], times)],
-            names=["a", "b", "na", "nb", "c"],
-        )
+        out = (a[at], b[at], na[at], nb[at], np.add.reduceat(times, at) if len(at) else times)
+        self.held, self.size = [out], len(at)
+        return out
+
+    def reached(self) -> np.ndarray:
+        """Pairs that can link, if all others of their lists are elsewhere.
+
+        ``seen`` holds the sets of the lists merged here, once per list, with the
+        number of all their lists; so a pair occurs as often as here, and in the
+        lists that either set has elsewhere, at most.
+        """
+        a, b, na, nb, times = self.held[0]
+        sig, lists = (np.concatenate(x) for x in zip(*self.seen, strict=True))
+        ids, first, here = np.unique(sig, return_index=True, return_counts=True)
+        rest = lists[first] - here
+        rest = np.minimum(rest[np.searchsorted(ids, a)], rest[np.searchsorted(ids, b)])
+        ta, tb = least_overlap(na.astype(np.int64)), least_overlap(nb.astype(np.int64))
+        skipped = np.maximum(ta - needed(na), tb - needed(nb))
+        return (100 + PERCENT) * (times + rest + skipped) >= PERCENT * (na + nb)
+
+    def rows(self, check: bool) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            columns = self.compact()
+            if check:
+                keep = self.reached()
+                columns = [c[keep] for c in columns]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in columns], names=["a", "b", "na", "nb", "c"]
+            )
+        self.__init__()
 
 
 _PAIRS = "a long, b long, na int, nb int, c long"
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Count the pairs of bounded groups; rows come sorted by ``key``.
+def _merging(check: bool):
+    """Count the pairs of bounded groups; rows come sorted by ``part`` and ``key``.
 
     ``side`` 0 and 1 are the two halves of a tile of a long list, 2 is a whole
-    list; ``comp`` tells members that are known to be connected.
+    list; ``comp`` tells members that are known to be connected.  With ``check``
+    a part holds all lists of one tile, and of its pairs those that cannot reach
+    the overlap are left out; a part then has two blocks' pairs at most.
     """
-    pairs = PairCounts()
-    rest = None
-    for batch in batches:
-        columns = [np.asarray(c) for c in batch.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = PairCounts()
+        rest = None
+        for batch in batches:
+            columns = [np.asarray(c) for c in batch.columns]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            part, key = columns[:2]
+            if not len(key):
+                continue
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+            bounds = np.flatnonzero(new)
+            rest = [c[bounds[-1] :] for c in columns]
+            parts = part[bounds]
+            for own in np.split(np.arange(len(bounds) - 1), np.flatnonzero(parts[1:-1] != parts[:-2]) + 1):
+                if check and len(own) and pairs.part not in (None, parts[own[0]]):
+                    yield from pairs.rows(check)
+                if len(own):
+                    pairs.part = parts[own[0]]
+                    _count_groups(columns, bounds[own[0] : own[-1] + 2], pairs)
+            if not check and pairs.size > pairs.MOST // 2:
+                yield from pairs.rows(check)
         if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-        key = columns[0]
-        if not len(key):
-            continue
-        bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        rest = [c[bounds[-1] :] for c in columns]
-        _count_groups(columns, bounds, pairs)
-        if pairs.size > pairs.MOST:
-            yield from pairs.rows()
-    if rest is not None:
-        _count_groups(rest, np.array([0, len(rest[0])]), pairs)
-    yield from pairs.rows()
+            if check and pairs.part not in (None, rest[0][0]):
+                yield from pairs.rows(check)
+            _count_groups(rest, np.array([0, len(rest[0])]), pairs)
+        yield from pairs.rows(check)
+
+    return run
 
 
 def _count_groups(columns: list[np.ndarray], bounds: np.ndarray, pairs: PairCounts) -> None:
-    _, sig, n, u, comp, side = columns
+    _, _, sig, n, u, comp, side = columns
     sizes = np.diff(bounds)
+    own = slice(bounds[0], bounds[-1])
+    size = n[own].astype(np.int64)
+    pairs.seen.append((sig[own], u[own] - least_overlap(size) + needed(size)))
     # Small groups of one size are handled together: row g holds group g.
     for size in np.unique(sizes).tolist():
         if size < 2:
@@ -257,11 +300,11 @@ def _count_groups(columns: list[np.ndarray], bounds: np.ndarray, pairs: PairCoun
             pairs.add(sig, n, x[keep], y[keep])
 
 
-def _merge(rows: DataFrame) -> DataFrame:
-    """``a, b, na, nb, c`` over all groups of ``key, sig, n, u, comp, side``."""
-    ordered = rows.select("key", "sig", "n", "u", "comp", "side")
-    ordered = ordered.repartition("key").sortWithinPartitions("key")
-    counted = ordered.mapInArrow(_merged, _PAIRS)
+def _merge(rows: DataFrame, check: bool = False) -> DataFrame:
+    """``a, b, na, nb, c`` over all groups of ``part, key, sig, n, u, comp, side``."""
+    ordered = rows.select("part", "key", "sig", "n", "u", "comp", "side")
+    ordered = ordered.repartition("part" if check else "key").sortWithinPartitions("part", "key")
+    counted = ordered.mapInArrow(_merging(check), _PAIRS)
     return counted.groupBy("a", "b").agg(
         F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c")
     )
@@ -278,8 +321,10 @@ def _tiles(rows: DataFrame, block: int) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    # A block meets itself in its own tile; in the others only across.
-    return rows.select(F.xxhash64("shingle", low, high).alias("key"), "sig", "n", "u", "comp", side.alias("side"))
+    # A block meets itself in its own tile; in the others only across.  Lists of one
+    # group have the same hub, so that the pairs of a tile meet in one part.
+    part, key = F.xxhash64("hub", low, high), F.xxhash64("shingle", low, high)
+    return rows.select(part.alias("part"), key.alias("key"), "sig", "n", "u", "comp", side.alias("side"))
 
 
 def _least(n: Column) -> Column:
@@ -364,7 +409,7 @@ def _by_documents(links: DataFrame, sets: DataFrame) -> DataFrame:
     return named.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
-def jaccard_join(docs: DataFrame, block: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_join(docs: DataFrame, block: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``texts, sets, links`` of ``docs`` (``doc_id, text``).
 
     ``texts``: ``doc_id, sig, n``, one row per row of ``docs``.  ``sets``: ``sig,
@@ -407,7 +452,13 @@ def jaccard_join(docs: DataFrame, block: int = 4096) -> tuple[DataFrame, DataFra
     lists = materialize(lists)
 
     short = lists.where(F.col("m") <= LONG).select(
-        F.col("shingle").alias("key"), "sig", "n", "u", F.col("sig").alias("comp"), F.lit(2).alias("side")
+        F.lit(0).alias("part"),
+        F.col("shingle").alias("key"),
+        "sig",
+        "n",
+        "u",
+        F.col("sig").alias("comp"),
+        F.lit(2).alias("side"),
     )
     short = materialize(_merge(short))
     long_lists = lists.where(F.col("m") > LONG)
@@ -428,9 +479,13 @@ def jaccard_join(docs: DataFrame, block: int = 4096) -> tuple[DataFrame, DataFra
     joined = sets.join(components(links), F.col("rep") == F.col("node"), "left")
     joined = joined.select("sig", F.coalesce("component", "rep").alias("comp"))
     named = long_lists.join(joined, "sig")
-    mixed = named.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-    mixed = mixed.where("x <> y").select("shingle")
-    apart = _merge(_tiles(named.join(mixed, "shingle", "left_semi"), block))
+    mixed = named.groupBy("shingle").agg(
+        F.min("comp").alias("x"),
+        F.max("comp").alias("y"),
+        F.max_by("sig", F.struct(F.col("u") / F.col("n"), "sig")).alias("hub"),
+    )
+    mixed = mixed.where("x <> y").select("shingle", "hub")
+    apart = _merge(_tiles(named.join(mixed, "shingle"), block), check=True)
     earlier = short.select("a", "b", F.col("c").alias("more"))
     apart = apart.join(earlier, ["a", "b"], "left")
     apart = apart.withColumn("c", F.col("c") + F.coalesce("more", F.lit(0)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -40,7 +41,7 @@ def runs(texts: pa.Array, most: int = 4 << 20):
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     sizes = np.asarray(
-        pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64
+        pc.fill_null(pc.binary_length(texts), 0), np.int64
     )
     start, total = 0, 0
     for i, size in enumerate(sizes):
