@@ -315,14 +315,15 @@ def _tiles(rows: DataFrame, block: int) -> DataFrame:
 
     A group of the result holds at most two blocks, however long the list.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("most") / block)).cast("int")
     rows = rows.withColumn("blocks", blocks)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     # A block meets itself in its own tile; in the others only across.  Lists of one
-    # group have the same hub, so that the pairs of a tile meet in one part.
+    # group have the same hub (the group of the member that shares most), so that the
+    # pairs of a tile meet in one part.
     part, key = F.xxhash64("hub", low, high), F.xxhash64("shingle", low, high)
     return rows.select(part.alias("part"), key.alias("key"), "sig", "n", "u", "comp", side.alias("side"))
 
@@ -482,9 +483,12 @@ def jaccard_join(docs: DataFrame, block: int = 512) -> tuple[DataFrame, DataFram
     mixed = named.groupBy("shingle").agg(
         F.min("comp").alias("x"),
         F.max("comp").alias("y"),
-        F.max_by("sig", F.struct(F.col("u") / F.col("n"), "sig")).alias("hub"),
+        F.max("m").alias("most"),
+        F.max_by("comp", F.struct(F.col("u") / F.col("n"), "sig")).alias("hub"),
     )
-    mixed = mixed.where("x <> y").select("shingle", "hub")
+    # As many blocks for all lists of a hub, so that a member is always in the same.
+    most = F.max("most").over(Window.partitionBy("hub")).alias("most")
+    mixed = mixed.where("x <> y").select("shingle", "hub", most)
     apart = _merge(_tiles(named.join(mixed, "shingle"), block), check=True)
     earlier = short.select("a", "b", F.col("c").alias("more"))
     apart = apart.join(earlier, ["a", "b"], "left")
