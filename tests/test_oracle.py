@@ -9,8 +9,10 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from wordmine.oracles import all_oracles
+from wordmine.queries import all_queries
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +25,8 @@ def duck():
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"learn_rules"}
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -37,12 +39,6 @@ def test_query(spark, duck, name):
     assert len(result.description) == len(cols)
 
 
-def test_learn_rules_labels_every_candidate(spark):
-    out = QUERIES["learn_rules"](spark, SMALL)
-    assert out.columns == ["word", "label", "prediction"]
-    assert out.count() == QUERIES["filter_free_words"](spark, SMALL).count()
-
-
 def test_entry(spark):
     out = entry.entry(spark)
     assert out.columns == ["word", "freq", "cohesion", "freedom"]

@@ -6,7 +6,6 @@ import pytest
 
 from wordmine import apply_rules, learn_rules
 from wordmine.operators import filters, lexicon, ranking, rules, scaling
-from wordmine.plans.learning import rules_text
 
 COLS = "word string, freq bigint, freedom double, cohesion double"
 
@@ -109,4 +108,26 @@ def test_learnt_rules(spark):
     model = learn_rules(table, labels)
     got = {r.word: r.prediction for r in apply_rules(model, table).collect()}
     assert got == {f"w{i}": float(i % 2) for i in range(200)}
-    assert "If" in rules_text(model)
+    assert model.text() == "If cohesion <= 10.0\n  Predict 0.0\nElse\n  Predict 1.0"
+
+
+def test_rules_do_not_depend_on_the_layout(spark):
+    rows = spark.range(60_000).selectExpr(
+        "concat('w', id) as word",
+        "xxhash64(id) % 5000 as freq",
+        "(xxhash64(id, 1) % 100000) / 1000.0D as freedom",
+        "case when id % 7 = 0 then null else (xxhash64(id, 2) % 1000) / 7.0D end as cohesion",
+    )
+    labels = rows.selectExpr("word", "int(freq > 1000 and (freedom < 3 or freq % 11 = 0)) as label")
+    found = [
+        learn_rules(rows.repartition(n), labels.repartition(n), max_depth=3, balance=True)
+        for n in (3, 11)
+    ]
+    assert found[0] == found[1] and len(found[0].limits) > 2
+
+
+def test_rules_of_few_rows(spark, table):
+    none = spark.createDataFrame([], "word string, label int")
+    assert {r.prediction for r in apply_rules(learn_rules(table, none), table).collect()} == {0.0}
+    one = spark.createDataFrame([("aa", 1), ("bb", 1)], "word string, label int")
+    assert {r.prediction for r in apply_rules(learn_rules(table, one), table).collect()} == {1.0}

@@ -14,10 +14,11 @@ def character_sums(words: DataFrame, grams: DataFrame) -> DataFrame:
     """Add sum and product of the frequencies of a word's characters."""
     chars = words.select("*", F.explode(tx.characters("word")).alias("part"))
     freq = F.col("part_freq").cast("double")
+    rest = [F.any_value(c).alias(c) for c in words.columns if c != "word"]
     return (
         lookup_unigram(chars, grams, "part")
-        .groupBy(*words.columns)
-        .agg(F.sum(freq).alias("char_sum"), F.product(freq).alias("char_product"))
+        .groupBy("word")
+        .agg(*rest, F.sum(freq).alias("char_sum"), F.product(freq).alias("char_product"))
     )
 
 

@@ -80,8 +80,10 @@ def cohesion(
     least = F.array_min(F.array(*strengths))
     if cap is not None:
         least = F.least(least, F.lit(float(cap)))
+    # A word is one row, so its other columns need not be grouped by.
+    rest = [F.any_value(c).alias(c) for c in scaled.columns if c != "word"]
     return (
-        found.groupBy(*scaled.columns)
-        .agg(*freqs)
+        found.groupBy("word")
+        .agg(*rest, *freqs)
         .select(*words.columns, least.alias("cohesion"))
     )

@@ -20,8 +20,10 @@ def by_length_freq(
 
 def drop_edge_marks(df: DataFrame, marks: str = ".-*") -> DataFrame:
     """Drop words that start or end with one of ``marks``."""
-    inside = "".join(f"\\{m}" for m in marks)
-    return df.where(~F.col("word").rlike(f"^[{inside}]|[{inside}]$"))
+    word, keep = F.col("word"), F.lit(True)
+    for mark in marks:
+        keep = keep & ~word.startswith(mark) & ~word.endswith(mark)
+    return df.where(keep)
 
 
 def drop_all_digits(df: DataFrame) -> DataFrame:

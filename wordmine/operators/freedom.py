@@ -69,7 +69,14 @@ def freedom(candidates: DataFrame, grams: DataFrame) -> DataFrame:
 
     A side without neighbours counts as 0.
     """
-    right, left = right_freedom(grams), left_freedom(grams)
+    # Only neighbours of the candidates are grouped.
+    right, left = (
+        extensions(candidates, grams, side)
+        .withColumnRenamed("extension_freq", "freq")
+        .groupBy("word")
+        .agg(_entropy_of().alias(f"{side}_freedom"))
+        for side in ("right", "left")
+    )
     zero = F.lit(0.0)
     return (
         candidates.join(right, "word", "left")
@@ -93,9 +100,11 @@ def word_statistics(
     frequencies add up to the corpus length); it is also the dictionary that
     cohesion needs, since a part is at least as frequent as the whole.
 
-    Entries containing ``pad`` are neighbours only.
+    Entries containing ``pad`` are neighbours only.  Single characters are no
+    candidates; their freedom is not computed and null.
     """
     size = F.length("word")
+    sides = ("right_freedom", "left_freedom")
     is_word = (size <= max_len) & ((F.col("freq") >= min_freq) | (size == 1))
     # Stems of one character are no candidates, their freedom is not needed.
     is_neighbour = (size >= 3) & (size <= max_len + 1)
@@ -120,7 +129,8 @@ def word_statistics(
             _entropy_of(role == 2).alias("left_freedom"),
         )
         .where(F.col("freq").isNotNull())
-        .withColumn("freedom", F.least("right_freedom", "left_freedom"))
+        .withColumns({c: F.when(size > 1, F.col(c)) for c in sides})
+        .withColumn("freedom", F.when(size > 1, F.least(*sides)))
     )
 
 

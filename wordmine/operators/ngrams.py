@@ -16,9 +16,10 @@ from wordmine.operators.clean import weighted_clauses
 def _windows(df: DataFrame, col: str, n: int) -> DataFrame:
     """One row per position with the up to n characters from there on, as ``s``."""
     others = [c for c in df.columns if c != col]
-    # sequence(1, 0) would count down, so empty texts have to go first.
-    texts = df.where(F.col(col) != "")
-    pieces = texts.select(*others, F.explode(tx.chunks(col, n)).alias("s"))
+    pieces = df.select(*others, F.explode(tx.chunks(col, n)).alias("s"))
+    # sequence(1, 0) would count down, so empty pieces have to go.  A filter on
+    # the text instead would be pushed to the scan, with all that made the text.
+    pieces = pieces.where(F.col("s") != "")
     starts = F.least(F.length("s"), F.lit(tx.CHUNK))
     placed = pieces.select(
         *others, "s", F.explode(F.sequence(F.lit(1), starts)).alias("at")
@@ -81,9 +82,8 @@ def shingles(
     washed: DataFrame, w: int, pad: str = tx.PAD, col: str = "text"
 ) -> DataFrame:
     """One substring of width w+1 per position, padded at the end, as ``s``."""
-    padded = washed.where(F.col(col) != "").withColumn(
-        col, F.concat(F.col(col), F.lit(pad * w))
-    )
+    more = F.when(F.col(col) != "", F.lit(pad * w)).otherwise("")
+    padded = washed.withColumn(col, F.concat(F.col(col), more))
     return _windows(padded, col, w + 1).where(F.length("s") == w + 1)
 
 
@@ -109,11 +109,10 @@ def padded_ngrams(
     Every text gets one pad in front and one behind; an n-gram holding a pad
     only says which neighbour the rest of it had.
     """
-    padded = washed.where(F.col(col) != "").select(
-        F.concat(F.lit(pad), F.col(col), F.lit(pad)).alias(col)
-    )
+    # An empty text becomes two pads; what that gives is dropped below.
+    padded = washed.select(F.concat(F.lit(pad), F.col(col), F.lit(pad)).alias(col))
     grams = _dictionary(padded, col, w + 1, F.lit(1))
-    return grams.where(F.col("word") != pad)
+    return grams.where(~F.col("word").isin(pad, pad * 2))
 
 
 def reverse_grams(grams: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ padded variant.
 
 from __future__ import annotations
 
-from wordmine.functions.text import CLAUSE_MARKS, OTHER_DIGITS, PAD, PLAIN_DIGITS
 from wordmine.queries import (
     COHESION_HIGH,
     COHESION_LOW,
@@ -18,9 +17,17 @@ from wordmine.queries import (
     MIN_FREQ,
     PADDED_FREQ,
     PADDED_LEN,
+    RULE_DEPTH,
     SCORE_WEIGHTS,
+    STOPWORD_FREQ,
 )
 
+# Fixed values, written out here again so that a slip in the code would show.
+CLAUSE_MARKS = ",，.。!！?？;；:：'‘’\"”“、(（)）<《>》[【】]{} \t\r\n"
+OTHER_DIGITS = "０１２３４５６７８９〇零一二三四五六七八九"
+PLAIN_DIGITS = "012345678900123456789"
+PAD = "\u0001"
+
 
 def _text(value: str) -> str:
     """A SQL string literal; control characters are written as chr()."""
@@ -163,7 +170,7 @@ _PARTS: dict[str, tuple[str, str]] = {
         "",
         f"""
         SELECT word FROM ({_short_clauses('conversations')})
-        ORDER BY n DESC, word LIMIT 50""",
+        WHERE n >= {STOPWORD_FREQ}""",
     ),
     "lex": ("", f"SELECT word FROM ({_short_clauses('benchmark')}) WHERE n >= 3"),
     "grams": ("clause_rows", _grams_sql("clause_rows", MAX_LEN + 1)),
@@ -322,9 +329,8 @@ _BAND = (
     f"AND cohesion BETWEEN {COHESION_LOW} AND {COHESION_HIGH}"
 )
 _IN_ENVELOPE = """
-    freedom BETWEEN (SELECT freedom_low FROM env) AND (SELECT freedom_high FROM env)
-    AND cohesion BETWEEN (SELECT cohesion_low FROM env)
-                     AND (SELECT cohesion_high FROM env)"""
+    freedom BETWEEN freedom_low AND freedom_high
+    AND cohesion BETWEEN cohesion_low AND cohesion_high"""
 _ALL3 = (
     f"freq >= {MIN_FREQ} AND cohesion >= {COHESION_LOW} AND freedom >= {MIN_FREEDOM}"
 )
@@ -400,9 +406,8 @@ _DICE = "(n * freq / s)"
 
 def _extension(stem: str) -> str:
     return f"""
-        SELECT c.word, e.extension, e.extension_freq FROM cand c
-        JOIN (SELECT {stem} AS word, word AS extension, freq AS extension_freq
-              FROM grams WHERE length(word) > 1) e USING (word)"""
+        SELECT {stem} AS word, word AS extension, freq AS extension_freq
+        FROM grams WHERE length(word) > 2 AND {stem} IN (SELECT word FROM cand)"""
 
 
 def all_oracles() -> dict[str, str]:
@@ -426,18 +431,49 @@ def all_oracles() -> dict[str, str]:
             f"string_split_regex({_kept('text')}, chr(10)||'|[0-9]{{8,}}')"
         ),
         "clauses": _with("clause_rows", "SELECT doc_id, pos, clause FROM clause_rows"),
-        "wash_cjk": """
+        "scan_corpus_text": """
+            SELECT text, count(*) AS n
+            FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents)
+            GROUP BY text""",
+        "scan_corpus_gbk": _on_cjk("""
+            SELECT text, count(*) AS n
+            FROM (SELECT regexp_replace(line, '[^ -~一-龥]', '', 'g') AS text
+                  FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))
+            WHERE text <> '' GROUP BY text"""),
+        "sink_words": _with("cand", "SELECT word, freq FROM cand"),
+        "sink_stages": _with(
+            "cand grams",
+            """
+            SELECT word, freq, 'words' AS stage FROM cand UNION ALL
+            SELECT word, freq, 'characters' FROM grams WHERE length(word) = 1""",
+        ),
+        "sink_ranked": _with(
+            "cand",
+            "SELECT row_number() OVER (ORDER BY freq DESC, word) AS rank, word, freq FROM cand",
+        ),
+        "clauses_cjk": _on_cjk(
+            _with("clause_rows", "SELECT doc_id, pos, clause FROM clause_rows")
+        ),
+        "ngram_freq_cjk": _on_cjk(
+            _with("clause_rows", f"SELECT word, freq FROM ({_grams_sql('clause_rows', 3)})")
+        ),
+        "discover_padded_cjk": _on_cjk(
+            _with("pfree pcoh", _PADDED_RULE).replace(f"[^{LATIN}]", "[^一-龥]")
+        ),
+        "learn_rules": _rules_sql(),
+        "wash_cjk": _on_cjk("""
             SELECT doc_id, regexp_replace(text, '[^一-龥]', '', 'g') AS text
-            FROM documents""",
+            FROM documents"""),
         "wash_latin": _with("washed", "SELECT doc_id, text FROM washed"),
-        "unify_text": f"""
+        "unify_text": _on_cjk(f"""
             SELECT doc_id,
                    translate(lower(text), '{OTHER_DIGITS}', '{PLAIN_DIGITS}') AS text
-            FROM documents""",
+            FROM documents"""),
         "ngrams": _with(
             "clause_rows",
             f"""
-            SELECT doc_id, size, sum(n)::BIGINT AS occurrences, count(*) AS kinds
+            SELECT doc_id, size, sum(n)::BIGINT AS occurrences, count(*) AS kinds,
+                   sum(n * ('0x' || substr(md5(word), 1, 7))::BIGINT)::BIGINT AS digest
             FROM (SELECT doc_id, substr(clause, i, k) AS word, k::INTEGER AS size,
                          count(*) AS n
                   FROM clause_rows, unnest(range(1, length(clause) + 1)) AS a(i),
@@ -450,7 +486,8 @@ def all_oracles() -> dict[str, str]:
             "shingle_rows",
             """
             SELECT doc_id, sum(n)::BIGINT AS occurrences, count(*) AS kinds,
-                   sum(n * n)::BIGINT AS squares
+                   sum(n * n)::BIGINT AS squares,
+                   sum(n * ('0x' || substr(md5(s), 1, 7))::BIGINT)::BIGINT AS digest
             FROM (SELECT doc_id, s, count(*) AS n FROM shingle_rows GROUP BY 1, 2)
             GROUP BY 1""",
         ),
@@ -537,7 +574,7 @@ def all_oracles() -> dict[str, str]:
         ),
         "rule_all3": _with("feat", _pick(_ALL3)),
         "rule_band": _with("feat", _pick(_BAND)),
-        "rule_envelope": _with("feat env", _pick(_IN_ENVELOPE)),
+        "rule_envelope": _with("feat env", _pick(_IN_ENVELOPE, "feat, env")),
         "rule_min_cohesion": _with("feat", _pick(f"cohesion >= {COHESION_LOW}")),
         "rule_strict": _with("feat", _pick("freedom > 1.7 AND cohesion > 23")),
         "rule_vote": _with("feat", _pick(_VOTE)),
@@ -593,16 +630,96 @@ def all_oracles() -> dict[str, str]:
             WHERE freq > {MIN_FREQ} AND freedom > 0 AND cohesion >= {COHESION_LOW}
               AND {_STOPPED} AND {_edges('.-')} AND {_NO_DIGITS}""",
         ),
-        "discover_padded": _with(
-            "pfree pcoh",
-            """
-            SELECT word, pfree.freq, round(freedom, 6) AS freedom, cohesion
-            FROM pfree JOIN pcoh USING (word)
-            WHERE freedom > 1.7 AND cohesion > 23""",
-        ),
+        "discover_padded": _with("pfree pcoh", _PADDED_RULE),
     }
 
 
+_PADDED_RULE = """
+    SELECT word, pfree.freq, round(freedom, 6) AS freedom, cohesion
+    FROM pfree JOIN pcoh USING (word)
+    WHERE freedom > 1.7 AND cohesion > 23"""
+
+
+def _on_cjk(sql: str) -> str:
+    """The same SQL on documents written in CJK characters."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789,"
+    cjk = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余０１2二３三四5六七，"
+    own = (
+        "cjk_documents AS MATERIALIZED (SELECT doc_id, "
+        f"translate(replace(text, '.', '\\n'), '{letters}', '{cjk}') AS text FROM documents)"
+    )
+    body = sql.replace("FROM documents", "FROM cjk_documents").strip()
+    return f"WITH {own}, {body[5:]}" if body.startswith("WITH ") else f"WITH {own} {body}"
+
+
+def _rules_sql() -> str:
+    """The tree, one group of tables per level; a node without a gain stays."""
+    cols = "freq freedom cohesion dice mi scp zscore tscore".split()
+    h = lambda a, n: f"(CASE WHEN {a} > 0 THEN -({a}) / ({n}) * ln(({a}) / ({n})) ELSE 0 END)"
+    entropy = lambda a, b: f"({h(a, f'{a} + {b}')} + {h(b, f'{a} + {b}')})"
+    parts = [
+        f"""table0 AS MATERIALIZED (
+            SELECT word, round(feat.freq, 6)::DOUBLE AS freq, round(freedom, 6) AS freedom,
+                   round(cohesion, 6) AS cohesion, round({_DICE}, 6) AS dice,
+                   round({_MI}, 6) AS mi, round(ln({_SCP}), 6) AS scp,
+                   round({_Z}, 6) AS zscore, round({_T}, 6) AS tscore,
+                   (word IN (SELECT word FROM lex))::BIGINT AS label
+            FROM (SELECT feat.*, n, s, p, t, ksi FROM feat JOIN measures USING (word)) feat)""",
+        """wgt AS MATERIALIZED (
+            SELECT CASE WHEN sum(label) > 0 AND sum(label) < count(*)
+                        THEN (count(*) - sum(label))::DOUBLE / sum(label)::DOUBLE
+                        ELSE 1.0 END AS w FROM table0)""",
+        "rows0 AS MATERIALIZED (SELECT *, 1 AS node FROM table0)",
+    ]
+    for d in range(RULE_DEPTH):
+        long = " UNION ALL ".join(
+            f"SELECT node, label, {i} AS feature, {c} AS value FROM rows{d} WHERE {c} IS NOT NULL"
+            for i, c in enumerate(cols)
+        )
+        order = "(PARTITION BY node, feature ORDER BY value)"
+        parts += [
+            f"""upto{d} AS MATERIALIZED (
+            SELECT node, feature, value, sum(n) OVER {order} AS n, sum(pos) OVER {order} AS pos
+            FROM (SELECT node, feature, value, count(*) AS n, sum(label) AS pos
+                  FROM ({long}) GROUP BY ALL))""",
+            f"""tried{d} AS MATERIALIZED (
+            SELECT node, feature, value,
+                   round({entropy('ap', 'an')} - (pp + pn) / (ap + an) * {entropy('pp', 'pn')}
+                         - (ap + an - pp - pn) / (ap + an)
+                           * {entropy('(ap - pp)', '(an - pn)')}, 9) AS gain,
+                   {entropy('(pp + pn)', '(ap + an - pp - pn)')} AS info
+            FROM (SELECT u.*, u.pos * w AS pp, (u.n - u.pos)::DOUBLE AS pn,
+                         g.pos * w AS ap, (g.n - g.pos)::DOUBLE AS an
+                  FROM upto{d} u
+                  JOIN (SELECT node, count(*) AS n, sum(label) AS pos FROM rows{d}
+                        GROUP BY node) g USING (node), wgt
+                  WHERE u.n < g.n))""",
+            f"""best{d} AS MATERIALIZED (
+            SELECT node, feature, value FROM (
+                SELECT *, row_number() OVER (
+                           PARTITION BY node ORDER BY round(gain / info, 9) DESC, feature) AS k
+                FROM (SELECT *, avg(gain) OVER (PARTITION BY node) AS mean
+                      FROM (SELECT *, row_number() OVER (
+                                PARTITION BY node, feature ORDER BY gain DESC, value) AS j
+                            FROM tried{d}) WHERE j = 1)
+                WHERE gain > 0 AND gain + 1e-9 >= mean) WHERE k = 1)""",
+        ]
+        value = "CASE feature " + " ".join(f"WHEN {i} THEN r.{c}" for i, c in enumerate(cols)) + " END"
+        parts.append(
+            f"""rows{d + 1} AS MATERIALIZED (
+            SELECT r.* REPLACE (CASE WHEN b.feature IS NULL THEN r.node
+                                     WHEN {value} <= b.value THEN 2 * r.node
+                                     ELSE 2 * r.node + 1 END AS node)
+            FROM rows{d} r LEFT JOIN best{d} b ON b.node = r.node)"""
+        )
+    body = f"""
+        SELECT word, label::INTEGER AS label,
+               CASE WHEN sum(label) OVER n * w > count(*) OVER n - sum(label) OVER n
+                    THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction
+        FROM rows{RULE_DEPTH}, wgt WINDOW n AS (PARTITION BY node)"""
+    return _with("feat measures lex", "") + ", " + ",\n".join(parts) + body
+
+
 def _envelope_job(more: str) -> str:
     limits = """
         SELECT min(freedom) AS f0, max(freedom) AS f1,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmine.operators import clean, filters, lexicon, ngrams, ranking, rules, scaling
@@ -18,15 +18,18 @@ from wordmine.operators import association as assoc
 from wordmine.operators import cohesion as coh
 from wordmine.operators import freedom as fr
 from wordmine.plans import discover as plans
-from wordmine.plans.learning import apply_rules, learn_rules
-from wordmine.session import materialize
-from wordmine.sources import read_corpus
+from wordmine.plans.learning import FEATURES, apply_rules, learn_rules
+from wordmine.session import materialize, new_folder, running_sums
+from wordmine.sources import read_corpus, read_words, sinks
+from wordmine.sources.corpus import java_charsets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 MAX_LEN = 5
 MIN_FREQ = 24
 MIN_FREEDOM = 1.0
+STOPWORD_FREQ = 24
+RULE_DEPTH = 3
 COHESION_LOW, COHESION_HIGH = 20.0, 500.0
 
 PADDED_LEN = 6
@@ -54,6 +57,17 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return read_corpus(spark, f"{sf}/documents.parquet", fmt="parquet")
 
 
+# The documents have no CJK character, so letters and digits are mapped to some.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789,"
+CJK_FOR_THEM = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余０１2二３三四5六七，"
+
+
+def cjk_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents in CJK characters, with escapes written out after each stop."""
+    text = F.replace(F.col("text"), F.lit("."), F.lit("\\n"))
+    return documents(spark, sf).withColumn("text", F.translate(text, LETTERS, CJK_FOR_THEM))
+
+
 def _frequent_clauses(spark, sf: str, table: str, id_col: str) -> DataFrame:
     docs = read_corpus(spark, f"{sf}/{table}.parquet", fmt="parquet", id_col=id_col)
     short = F.length("clause").between(2, MAX_LEN)
@@ -62,9 +76,9 @@ def _frequent_clauses(spark, sf: str, table: str, id_col: str) -> DataFrame:
 
 
 def stopwords(spark: SparkSession, sf: str) -> DataFrame:
-    """The 50 most frequent short clauses of the conversations."""
+    """Short clauses that are frequent in the conversations."""
     counted = _frequent_clauses(spark, sf, "conversations", "conv_id")
-    return counted.orderBy(F.desc("n"), "word").limit(50).select("word")
+    return counted.where(F.col("n") >= STOPWORD_FREQ).select("word")
 
 
 def lexicon_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,6 +95,12 @@ def frequent(spark: SparkSession, sf: str) -> DataFrame:
     return plans.frequent_words(documents(spark, sf), MAX_LEN, MIN_FREQ)
 
 
+def frequent_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Frequencies alone, of all that cohesion and the measures look up."""
+    grams = ngrams.corpus_ngrams(documents(spark, sf), MAX_LEN)
+    return materialize(grams.where((F.col("freq") >= MIN_FREQ) | (F.length("word") == 1)))
+
+
 def candidates(grams: DataFrame) -> DataFrame:
     return filters.by_length_freq(grams, MAX_LEN, MIN_FREQ)
 
@@ -128,14 +148,76 @@ def scan_corpus(spark, sf):
     return documents(spark, sf)
 
 
+def _lines(df: DataFrame) -> DataFrame:
+    return df.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def scan_corpus_text(spark, sf):
+    """The documents as text files: every line is a document again."""
+    path = new_folder(spark, "text")
+    documents(spark, sf).where("text is not null").select("text").write.text(path)
+    return _lines(read_corpus(spark, path))
+
+
+@query
+def scan_corpus_gbk(spark, sf):
+    """The same in GBK, of CJK text without characters that GBK lacks."""
+    path = new_folder(spark, "gbk")
+    lines = cjk_documents(spark, sf).select(F.explode(F.split("text", "\n")).alias("text"))
+    plain = lines.select(F.regexp_replace("text", "[^ -~一-龥]", "").alias("text"))
+    plain = plain.where("text <> ''")
+    options = {"encoding": "GBK", "quote": "", "sep": "\x01", "escapeQuotes": "false"}
+    options |= {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    with java_charsets(spark):
+        plain.write.options(**options).csv(path)
+    return _lines(read_corpus(spark, path, encoding="GBK"))
+
+
+def _word_list(spark, words: DataFrame) -> DataFrame:
+    """A word list written as text and read again."""
+    path = new_folder(spark, "words")
+    words.select("word").write.text(path)
+    return read_words(spark, path)
+
+
 @query
 def scan_stopwords(spark, sf):
-    return stopwords(spark, sf)
+    return _word_list(spark, stopwords(spark, sf))
 
 
 @query
 def scan_lexicon(spark, sf):
-    return lexicon_words(spark, sf)
+    return _word_list(spark, lexicon_words(spark, sf))
+
+
+@query
+def sink_words(spark, sf):
+    path = new_folder(spark, "sink")
+    sinks.write_words(candidates(frequent_counts(spark, sf)), path)
+    return spark.read.parquet(path)
+
+
+@query
+def sink_stages(spark, sf):
+    path = new_folder(spark, "sink")
+    counts = frequent_counts(spark, sf)
+    sinks.write_stages({"words": candidates(counts), "characters": ngrams.unigrams(counts)}, path)
+    read = lambda stage: spark.read.parquet(f"{path}/{stage}").withColumn("stage", F.lit(stage))
+    return read("words").unionByName(read("characters"))
+
+
+@query
+def sink_ranked(spark, sf):
+    """Written in order of frequency; the place in the files is the rank."""
+    path = new_folder(spark, "sink")
+    sinks.write_ranked(candidates(frequent_counts(spark, sf)), path)
+    rows = spark.read.schema("word string, freq bigint").csv(path)
+    at = ["_metadata.file_name", "_metadata.file_block_start"]
+    rows = rows.select("*", F.col(at[0]).alias("f"), F.col(at[1]).alias("b"))
+    rows = rows.select("*", F.monotonically_increasing_id().alias("i"), F.lit(1).alias("rank"))
+    ranked = running_sums(materialize(rows), [], ["f", "b", "i"], ["rank"])
+    return ranked.select(F.col("rank_upto").cast("bigint").alias("rank"), "word", "freq")
 
 
 @query
@@ -167,7 +249,7 @@ def clauses(spark, sf):
 
 @query
 def wash_cjk(spark, sf):
-    return clean.wash(documents(spark, sf))
+    return clean.wash(cjk_documents(spark, sf))
 
 
 @query
@@ -177,7 +259,22 @@ def wash_latin(spark, sf):
 
 @query
 def unify_text(spark, sf):
-    return clean.unify(documents(spark, sf), case=True, digits=True)
+    return clean.unify(cjk_documents(spark, sf), case=True, digits=True)
+
+
+@query
+def clauses_cjk(spark, sf):
+    return clean.clauses(cjk_documents(spark, sf))
+
+
+@query
+def ngram_freq_cjk(spark, sf):
+    return ngrams.corpus_ngrams(cjk_documents(spark, sf), 3)
+
+
+@query
+def discover_padded_cjk(spark, sf):
+    return rounded(plans.discover_padded(cjk_documents(spark, sf)))
 
 
 # N-grams
@@ -190,10 +287,17 @@ def ngrams_per_document(spark, sf):
     )
     counted = grams.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("doc_id", F.length("word").alias("size")).agg(
-        F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("kinds")
+        F.sum("n").alias("occurrences"),
+        F.count(F.lit(1)).alias("kinds"),
+        F.sum(F.col("n") * _digest("word")).alias("digest"),
     )
 
 
+def _digest(word: str) -> Column:
+    """28 bits of a word, so that sums of them tell contents apart."""
+    return F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("bigint")
+
+
 @query
 def shingles(spark, sf):
     rows = ngrams.shingles(washed(spark, sf), PADDED_LEN)
@@ -202,6 +306,7 @@ def shingles(spark, sf):
         F.sum("n").alias("occurrences"),
         F.count(F.lit(1)).alias("kinds"),
         F.sum(F.col("n") * F.col("n")).alias("squares"),
+        F.sum(F.col("n") * _digest("s")).alias("digest"),
     )
 
 
@@ -278,23 +383,24 @@ def extensions_left(spark, sf):
 
 @query
 def part_freq(spark, sf):
-    grams = frequent(spark, sf).select("word", "freq")
+    grams = frequent_counts(spark, sf)
     return coh.lookup_freq(coh.parts(candidates(grams)), grams)
 
 
 @query
 def cohesion(spark, sf):
-    grams = frequent(spark, sf).select("word", "freq")
+    grams = frequent_counts(spark, sf)
     total = plans.total_of(grams)
     return coh.cohesion(candidates(grams), grams, total, MAX_LEN)
 
 
 @query
 def cohesion_capped(spark, sf):
-    table = plans.padded_features(
-        documents(spark, sf), PADDED_LEN, PADDED_FREQ, LATIN
-    )
-    return table.select("word", "freq", "cohesion")
+    texts = washed(spark, sf).select(F.col("text").alias("clause"))
+    grams = ngrams.count_ngrams(texts, PADDED_LEN)
+    grams = materialize(grams.where((F.col("freq") >= PADDED_FREQ) | (F.length("word") == 1)))
+    words = filters.by_length_freq(grams, PADDED_LEN, PADDED_FREQ)
+    return coh.cohesion(words, grams, plans.total_of(grams), PADDED_LEN, cap=1e9)
 
 
 @query
@@ -434,7 +540,7 @@ def rule_vote(spark, sf):
 
 
 def _associated(spark, sf) -> DataFrame:
-    grams = frequent(spark, sf).select("word", "freq")
+    grams = frequent_counts(spark, sf)
     return assoc.association(candidates(grams), grams, plans.total_of(grams))
 
 
@@ -563,14 +669,20 @@ def discover_padded(spark, sf):
 @query
 def learned_rules(spark, sf):
     """Candidates, their label (known word or not) and the learnt decision."""
-    table = materialize(features(spark, sf))
+    found = frequent(spark, sf)
+    table = plans.features(filters.positive_freedom(candidates(found)), found, MAX_LEN)
+    table = assoc.association(table, found, plans.total_of(found)).select("word", *FEATURES)
+    # Rounded like everything shown, and the powers in scp as their logarithm.
+    table = table.withColumn("scp", F.ln("scp"))
+    table = materialize(rounded(table, exact=()))
     known = lexicon_words(spark, sf).withColumn("label", F.lit(1))
     labels = (
         table.select("word")
         .join(known, "word", "left")
         .select("word", F.coalesce("label", F.lit(0)).alias("label"))
     )
-    decided = apply_rules(learn_rules(table, labels), table)
+    rules = learn_rules(table, labels, FEATURES, RULE_DEPTH, balance=True)
+    decided = apply_rules(rules, table)
     return decided.join(labels, "word").select("word", "label", "prediction")
 
 

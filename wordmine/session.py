@@ -2,45 +2,117 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Owners of stored tables, innermost last: each is a list of paths.
+_OWNERS: list[list[str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, as named by ``spark.checkpoint.dir``."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    """Folder that all executors share, as named by ``spark.checkpoint.dir``.
+
+    It must be set on a cluster.  On one machine a folder in the warehouse serves
+    where it is not.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError(
                 "set spark.checkpoint.dir to a folder that all executors can reach"
             )
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="wordmine-"))
-        folder = context.getCheckpointDir()
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_wordmine"
     return folder.rstrip("/")
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are stored inside, also when the job fails.
+
+    A job returns a DataFrame that still reads its stored tables, so write or
+    collect the result inside::
+
+        with scratch(spark):
+            discover_v1(docs, stopwords).write.parquet(out)
+    """
+    own: list[str] = []
+    _OWNERS.append(own)
+    try:
+        yield
+    finally:
+        _OWNERS.remove(own)
+        for path in own:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is on."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def new_folder(spark: SparkSession, kind: str = "table") -> str:
+    """A path below the shared folder that nothing uses yet.
+
+    The innermost ``scratch`` owns it; without one it stays until it is deleted.
+    """
+    path = f"{checkpoint_dir(spark)}/wordmine-{kind}-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and return it read back.
 
     Used where one result feeds several later steps.  The written table
     survives lost executors, is read column by column, and tells the planner
-    its true size, so that Spark broadcasts it only below its own limit.
+    its true size, so that Spark broadcasts it only below its own limit.  This
+    runs a job at once, and so does every function that calls it.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/wordmine-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def running_sums(
+    df: DataFrame, group: list[str], order: list[str], sums: list[str]
+) -> DataFrame:
+    """Add ``<name>_upto`` for each of ``sums``: its sum up to the row, in order.
+
+    Rows are dealt to ranges of (group, order) and added up inside each; only a
+    row per group and range meets its like in one place.  So a group may be of
+    any size.  ``order`` must be unique within a group.
+    """
+    ranged = df.repartitionByRange(*group, *order)
+    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(*group, "_range").orderBy(*order)
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*group).orderBy("_range")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*group, "_range").agg(*[F.sum(c).alias(c) for c in sums])
+    parts = parts.select(
+        *group, "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in sums]
+    )
+    out = ranged.join(parts, [*group, "_range"])
+    added = {f"{c}_upto": F.sum(c).over(inside) + F.col(f"_{c}") for c in sums}
+    return out.withColumns(added).select(*df.columns, *added)
+
+
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Redistribute a scan that has too few splits to use the cluster.
 
     With ``partitions`` given it is a minimum.  Otherwise the scan is left
     alone unless its splits could not even fill half of the task slots, which
-    is never so for a corpus larger than the cluster.
+    is never so for a corpus larger than the cluster.  Only the layout changes,
+    never a result.  This looks at the scan's splits through ``df.rdd``, which
+    Spark Connect does not offer.
     """
     splits = df.rdd.getNumPartitions()
     if partitions is None:
