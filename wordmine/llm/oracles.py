@@ -1,8 +1,42 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+The other operators apply trained models, tokenizers or Spark's hash functions,
+which SQL has no like of; their tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+ORACLES: dict[str, str] = {
+    # Every pair of documents with a common shingle, and all that links reach.
+    "op6_ngram_jaccard_join": rf"""
+        WITH RECURSIVE w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+                '[^\x20\x09-\x0D]+') AS l
+            FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(
+                CASE WHEN len(l) = 0 THEN []
+                     WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
+                     ELSE [array_to_string(l[i:i + 4], ' ') for i in range(1, len(l) - 3)]
+                END) AS g
+            FROM w),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        e AS MATERIALIZED (
+            SELECT a, b
+            FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+                  FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+            JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+            WHERE 100 * c >= 75 * (p.n + q.n - c)),
+        r AS (
+            SELECT doc_id AS node, doc_id AS m FROM w
+            UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.m)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.m) AS component_id
+        FROM w JOIN r ON r.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+        GROUP BY w.doc_id, n.n""",
+}
 
 
 def all_oracles() -> dict[str, str]:
