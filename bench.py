@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from wordmine.queries import all_queries
+from wordmine.session import scratch
 
 HEADLINE = [
     "clauses",
@@ -42,6 +44,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="wordmine-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -50,8 +53,9 @@ def main() -> None:
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()
-        df = queries[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
+        with scratch(spark):
+            df = queries[name](spark, sf_dir)
+            df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     scale = re.search(r"sf([0-9.]+)", sf_dir)
     line = {

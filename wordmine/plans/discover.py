@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wordmine.functions.text import CJK, PAD
 from wordmine.operators import filters, rules
 from wordmine.operators.association import association
-from wordmine.operators.clean import wash
+from wordmine.operators.clean import unify, wash
 from wordmine.operators.cohesion import cohesion
 from wordmine.operators.freedom import word_statistics
 from wordmine.operators.lexicon import lexicon_envelope, new_words
@@ -31,13 +31,21 @@ FEATURES = ["word", "freq", "freedom", "cohesion"]
 
 
 def frequent_words(
-    df: DataFrame, max_len: int, min_freq: int, ngram_len: int | None = None
+    df: DataFrame,
+    max_len: int,
+    min_freq: int,
+    ngram_len: int | None = None,
+    unified: bool = False,
 ) -> DataFrame:
     """Step 1 and 2: ``(word, freq, right_freedom, left_freedom, freedom)``.
 
     ``ngram_len`` is the longest n-gram counted, by default one more than the
-    longest word so that these have neighbours, too.
+    longest word so that these have neighbours, too.  With ``unified`` letters
+    are lower-cased and all digits written as 0-9 first.  The table is stored at
+    once, so this and every job below run a Spark job before they return.
     """
+    if unified:
+        df = unify(df, case=True, digits=True)
     grams = corpus_ngrams(df, ngram_len or max_len + 1)
     return materialize(word_statistics(grams, max_len, min_freq))
 
@@ -63,12 +71,13 @@ def discover_v1(
     min_freq: int = 24,
     min_cohesion: float = 20,
     min_freedom: float = 1.0,
+    unified: bool = False,
 ) -> DataFrame:
     """Three lower limits, set by hand: ``(word, freq, cohesion, freedom)``.
 
     Words must be more frequent than ``word_filter`` and at least ``min_freq``.
     """
-    frequent = frequent_words(df, max_len, word_filter)
+    frequent = frequent_words(df, max_len, word_filter, unified=unified)
     words = filters.candidates_v1(frequent, stopwords, max_len, word_filter)
     # The rule is one conjunction, so its cheap parts can go first.
     words = words.where(
@@ -88,13 +97,14 @@ def discover_v2(
     cohesion_high: float = 500,
     min_freedom: float = 1.0,
     max_len: int = 5,
+    unified: bool = False,
 ) -> DataFrame:
     """A lower limit for freedom and a band for cohesion.
 
     N-grams are counted up to ``max_len`` only, so words of that length have no
     neighbours and freedom 0; to find words up to five characters, pass 6.
     """
-    frequent = frequent_words(df, max_len, min_freq, ngram_len=max_len)
+    frequent = frequent_words(df, max_len, min_freq, max_len, unified)
     words = filters.candidates_v2(frequent, stopwords, max_len, min_freq)
     words = words.where(F.col("freedom") >= min_freedom)
     return rules.select_band(
@@ -110,6 +120,7 @@ def discover_v3(
     min_freq: int = 24,
     exclude_lexicon: bool = True,
     stages_dir: str | None = None,
+    unified: bool = False,
 ) -> DataFrame:
     """Limits learnt from the known words found in the corpus.
 
@@ -117,7 +128,7 @@ def discover_v3(
     ``stages_dir`` the left, right and joined freedom and all features are
     written there, too.
     """
-    frequent = frequent_words(df, max_len, min_freq)
+    frequent = frequent_words(df, max_len, min_freq, unified=unified)
     candidates = filters.candidates_v3(frequent, stopwords, max_len, min_freq)
     words = filters.positive_freedom(candidates)
     table = materialize(features(words, frequent, max_len))
@@ -139,12 +150,13 @@ def discover_v31(
     min_freq: int = 24,
     max_len: int = 5,
     min_cohesion: float = 20,
+    unified: bool = False,
 ) -> DataFrame:
     """A lower limit for cohesion, and five association measures more.
 
     N-grams are counted up to ``max_len`` only (see ``discover_v2``).
     """
-    frequent = frequent_words(df, max_len, min_freq, ngram_len=max_len)
+    frequent = frequent_words(df, max_len, min_freq, max_len, unified)
     candidates = filters.candidates_v31(frequent, stopwords, max_len, min_freq)
     words = filters.positive_freedom(candidates)
     tight = rules.select_min_cohesion(
@@ -159,12 +171,16 @@ def padded_features(
     min_freq: int = 10,
     alphabet: str = CJK,
     cap: float = 1e9,
+    unified: bool = False,
 ) -> DataFrame:
     """Features of all frequent words of the washed texts.
 
     Each document is one text; its ends count as neighbours.
     """
-    grams = padded_ngrams(wash(df.select("text"), alphabet), max_len)
+    texts = df.select("text")
+    if unified:
+        texts = unify(texts, case=True, digits=True)
+    grams = padded_ngrams(wash(texts, alphabet), max_len)
     frequent = materialize(word_statistics(grams, max_len, min_freq, PAD))
     words = filters.by_length_freq(frequent, max_len, min_freq)
     found = cohesion(
@@ -184,11 +200,12 @@ def discover_padded(
     freedom: float = 1.7,
     cohesion: float = 23,
     alphabet: str = CJK,
+    unified: bool = False,
 ) -> DataFrame:
     """Words of washed texts whose freedom and cohesion lie above two limits.
 
     Order the result with ``rank_by(df, 'freq')``; scale its features with the
     functions of ``wordmine.operators.scaling``.
     """
-    table = padded_features(df, max_len, min_freq, alphabet)
+    table = padded_features(df, max_len, min_freq, alphabet, unified=unified)
     return rules.select_strict(table, freedom, cohesion)
