@@ -71,16 +71,19 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), first
     core = _CORE[data]
-    place = np.arange(len(data))
-    left = np.minimum.accumulate(np.where(core, place, len(data))[::-1])[::-1][starts]
-    right = np.maximum.accumulate(np.where(core, place, -1))[ends - 1] + 1
-    bare = left >= ends  # nothing but marks: kept as they are
-    left, right = np.where(bare, starts, left), np.where(bare, ends, right)
+    before = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(core, out=before[1:])
+    places = np.flatnonzero(core)
+    left, right = starts.copy(), ends.copy()
+    some = np.flatnonzero(before[ends] > before[starts])  # words of marks stay as they are
+    left[some] = places[before[starts[some]]]
+    right[some] = places[before[ends[some]] - 1] + 1
     own = span_hashes(LOWER[data], left, right)
 
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
-    letters = np.concatenate(([0], np.cumsum(core & ~_DIGIT[data])))
-    number = (digits[right] > digits[left]) & (letters[right] == letters[left])
+    digits = np.bincount(
+        np.searchsorted(starts, np.flatnonzero(_DIGIT[data]), "right") - 1, minlength=len(starts)
+    )
+    number = (digits > 0) & (before[right] - before[left] == digits)
     head = data[left]
     second = data[np.minimum(left + 1, len(data) - 1)]
     capital = (head >= ord("A")) & (head <= ord("Z"))

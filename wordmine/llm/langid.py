@@ -276,7 +276,7 @@ def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, most: int = SAMPLE_RUNS) ->
 class Reader:
     """A network and a bounded memory of what it said of runs."""
 
-    REMEMBER = 1_000_000
+    REMEMBER = 200_000
 
     def __init__(self, net: Network):
         self.net, self.known = net, {}

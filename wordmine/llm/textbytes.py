@@ -36,7 +36,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def runs(texts: pa.Array, most: int = 4 << 20):
+def runs(texts: pa.Array, most: int = 2 << 20):
     """Cut a batch into slices of about ``most`` bytes, one text at least."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -81,31 +81,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_POWERS = np.ones(1, np.uint64)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        steps = np.full(size, _BASE, np.uint64)
-        steps[0] = 1
-        _POWERS = np.multiply.accumulate(steps)
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, n at least."""
+    if len(_POWERS[0]) < n:
+        size = -(-n // 65_536) * 65_536
+        for k, base in enumerate((_BASE, _INVERSE)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
     return _POWERS
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans ascend and do not overlap."""
+    """A 64-bit hash of each span of bytes.
+
+    A polynomial of the bytes modulo 2**64: the difference of two prefix sums,
+    shifted to the start of the span by a power of the inverse base.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    powers = _powers(int(lengths.max()) + 1)
-    total = int(lengths.sum())
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    place = np.arange(total) - np.repeat(first, lengths)
-    picked = data[place + np.repeat(starts, lengths)]
-    sums = np.add.reduceat((picked.astype(np.uint64) + np.uint64(1)) * powers[place], first)
-    return mix(sums ^ (lengths.astype(np.uint64) << np.uint64(48)))
+    powers, inverses = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= powers[: len(data)]
+    np.cumsum(terms, out=sums[1:])
+    spans = (sums[ends] - sums[starts]) * inverses[starts]
+    return mix(spans ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
 
 
 def window_hashes(items: np.ndarray, width: int) -> np.ndarray:
