@@ -7,13 +7,11 @@ data in it is masked; what is left is packed into sequences.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from wordmine.llm import decontaminate, jaccard, langid, packing, pii
 from wordmine.llm.queries import vocabulary
-from wordmine.session import checkpoint_dir, materialize
+from wordmine.session import materialize, new_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is a Parquet table."""
-    folder = f"{checkpoint_dir(spark)}/wordmine-pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

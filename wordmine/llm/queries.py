@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from wordmine.llm import decontaminate, idfiles, jaccard, langid, ngramllr, packing, pii, quality, sharding, tokens, urls
-from wordmine.session import checkpoint_dir, materialize
+from wordmine.session import materialize, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,7 +48,7 @@ def op3_best_fit_packing(spark, sf):
 def op10_token_id_files(spark, sf):
     path = vocabulary("byte_bpe_50k.json")
     ids = materialize(tokens.token_ids(table(spark, sf, "documents"), path), compression="zstd")
-    out = f"{checkpoint_dir(spark)}/wordmine-ids-{uuid.uuid4().hex}"
+    out = new_folder(spark, "ids")
     idfiles.write_ids(ids, out, tokens.id_type(path).str)
     return idfiles.read_ids(spark, out, digest=True)
 
