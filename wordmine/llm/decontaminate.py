@@ -195,8 +195,6 @@ def contaminated(
     items = items.select(
         "item_id", "hash", "n_windows", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")
     )
-    if wanted is not None:
-        items = F.broadcast(items)
     found = found.select("doc_id", "hash", "pos", "slots")
     pairs = found.join(items, "hash").select(
         "doc_id",
