@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmine.llm.components import components
+from wordmine.llm.memory import only
 from wordmine.llm.textbytes import LOWER, runs, span_hashes, text_bytes, window_hashes, words
 from wordmine.session import materialize
 
@@ -101,6 +102,7 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]):
+    only()
     for batch in batches:
         for start, stop in runs(batch.column("text")):
             part = batch.slice(start, stop - start)
@@ -351,7 +353,9 @@ def _reached() -> Column:
 
 
 def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    only()
+    slices = (x.slice(k, 500) for x in batches for k in range(0, x.num_rows, 500))
+    for batch in slices:
         a, b, texts_a, texts_b = (batch.column(k) for k in range(4))
         sig = np.concatenate((np.asarray(a), np.asarray(b)))
         ids, first, which = np.unique(sig, return_index=True, return_inverse=True)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordmine.llm.memory import memory, only
 from wordmine.llm.textbytes import LOWER, runs, text_bytes
 
 RUN = 24
@@ -308,10 +309,11 @@ class Reader:
         return total[:, :-1] / np.maximum(total[:, -1:], 1), total[:, -1]
 
 
-_READERS: dict[bytes, Reader] = {}
+_READERS: dict[bytes, Reader] = memory()
 
 
 def _reader(net: Network) -> Reader:
+    only(_READERS)
     key = b"".join(net.weights[k].tobytes() for k in sorted(net.weights))
     if key not in _READERS:
         _READERS.clear()

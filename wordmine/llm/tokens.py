@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordmine.llm.memory import memory, only
 from wordmine.llm.textbytes import IS_SPACE, runs, text_bytes
 
 #: Appended to every document.
@@ -174,11 +175,12 @@ class PieceEncoder:
         return ids, np.concatenate(([0], ends))
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[str, PieceEncoder] = memory()
 
 
 def encoder(path: str) -> PieceEncoder:
     """One per Python worker and vocabulary, so that what it remembers lasts."""
+    only(_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
