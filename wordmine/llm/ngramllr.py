@@ -94,7 +94,8 @@ def judged(docs: DataFrame, weights: DataFrame, least: float = LEAST_RATIO) -> D
             F.array_sort(F.collect_list(F.struct("bucket", "weight"))), lambda x: x["weight"]
         ).alias("weights")
     ).scalar()
-    weight = lambda a, x: a + F.get(F.col("table"), F.pmod(x, F.lit(BUCKETS)).cast("int"))
+    # BUCKETS is a power of two, so its bits are the remainder.
+    weight = lambda a, x: a + F.get(F.col("table"), x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
     rows = rows.select("doc_id", "t", "w", "p", windows.alias("v"), table.alias("table"))
     sums = F.aggregate("w", F.lit(0.0), weight) + F.aggregate("p", F.lit(0.0), weight)
     rows = rows.select(
