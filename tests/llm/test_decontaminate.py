@@ -55,3 +55,25 @@ def test_query_against_brute_force(spark):
     }
     got = {(r["doc_id"], r["item_id"]) for r in rows}
     assert whole and whole <= got <= runs_of_12
+
+
+def test_one_clash_does_not_discard_the_rest(spark):
+    altered = ITEM.replace("sells 12", "sells 13")
+    renamed = ITEM.replace("and Anna", "and Bert")
+    chance = "When Anna picks 2 apples and then walks for 2 hours to the old market she sells all of it and buys some bread"
+    other = chance.replace("Anna", "Bert").replace("2 apples", "3 apples").replace("2 hours", "5 hours")
+    got = found(spark, [altered, renamed, other], [ITEM, chance])
+    assert set(got) == {(0, 0), (1, 0), (2, 1)}
+    assert all(r["reparameterised"] for r in got.values())
+
+
+def test_windows_that_fit_together():
+    v = lambda at, a, b, named=False: {"a": a, "b": b, "at": at, "named": named}
+    two = [[v(1, 5, 7)], [v(1, 5, 7)], [v(9, 5, 8)], [v(9, 5, 5)], []]
+    assert decontaminate._fitting(two) == [True, True, False, True, True]
+    names = [[v(1, 5, 7, True)], [v(9, 5, 8, True)], []]
+    assert decontaminate._fitting(names) == [False, False, True]
+    assert decontaminate._fitting([*names, [v(12, 5, 8, True)]]) == [False, True, True, True]
+    many = [[v(9 * k, 100 + k, 7)] * 2 + [v(9 * k + 4, 100 + k, 7)] for k in range(20)]
+    more = [[v(9 * k + 8, 100 + k, 8)] for k in range(20)]
+    assert decontaminate._fitting(many + more + more) == [False] * 20 + [True] * 40

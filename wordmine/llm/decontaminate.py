@@ -5,12 +5,16 @@ their ends; a number becomes one placeholder, a capitalised word inside a
 sentence another, a unit after a number a third.  Windows of eight template
 words are joined by hash with those of the benchmark.  What stood in the
 placeholders must fit: along one alignment of an item with a document, equal
-benchmark values must stand against equal document values.
+benchmark values must stand against equal document values.  Windows that break
+this are left out; windows equal to the item's word by word always count.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import product
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -106,13 +110,90 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return token, own, number | named | unit, first
 
 
-_ROWS = "`{id}` long, pos long, n_windows long, hash long, slots array<long>"
+_ROWS = "`{id}` long, pos long, n_windows long, hash long, slots array<long>, places array<long>"
+#: Choices of document values up to which the best is looked for among all.
+_CHOICES = 256
+
+
+def _fitting(windows: list[list[dict]]) -> list[bool]:
+    """Which windows of one alignment count, given the values in their slots.
+
+    A window with the item's own values counts always.  For the others one
+    document value is chosen for each value of the item: for a name the one that
+    stands against most of its occurrences (none if two do so equally), for a
+    number or unit the one that lets most windows count.
+    """
+    seen: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+    named = set()
+    for z in windows:
+        for v in z:
+            seen[v["a"]][v["b"]].add(v["at"])
+            if v["named"]:
+                named.add(v["a"])
+    chosen: dict[int, int | None] = {}
+    free = []
+    for a, values in sorted(seen.items()):
+        ranked = sorted(values, key=lambda b: (-len(values[b]), b))
+        if len(ranked) > 1 and a not in named:
+            free.append((a, ranked))
+        elif len(ranked) > 1 and len(values[ranked[0]]) == len(values[ranked[1]]):
+            chosen[a] = None
+            continue
+        chosen[a] = ranked[0]
+    # Windows with the same values stand or fall together.
+    groups = Counter(frozenset((v["a"], v["b"]) for v in z) for z in windows)
+    open_values = {a for a, _ in free}
+    groups = {
+        g: n for g, n in groups.items() if all(a in open_values or chosen[a] == b for a, b in g)
+    }
+
+    def size() -> int:
+        return sum(n for g, n in groups.items() if all(chosen[a] == b for a, b in g))
+
+    if prod(len(r) for _, r in free) <= _CHOICES:
+        best = (-1, ())
+        for bs in product(*(r for _, r in free)):
+            chosen.update(zip((a for a, _ in free), bs, strict=True))
+            best = max(best, (size(), bs), key=lambda x: x[0])
+        chosen.update(zip((a for a, _ in free), best[1], strict=True))
+    else:  # one value after the other, until no change lets more windows count
+        now, better = size(), True
+        while better:
+            better = False
+            for a, ranked in free:
+                for b in ranked:
+                    old, chosen[a] = chosen[a], b
+                    new = size()
+                    if new > now:
+                        now, better = new, True
+                    else:
+                        chosen[a] = old
+    return [
+        all(v["a"] == v["b"] for v in z) or all(chosen[v["a"]] == v["b"] for v in z) for z in windows
+    ]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places that count of every alignment; ``z`` is null if all do."""
+    for batch in batches:
+        places = batch.column("places").to_pylist()
+        for i, z in enumerate(batch.column("z").to_pylist()):
+            if z is not None:
+                places[i] = [p for p, fits in zip(places[i], _fitting(z), strict=True) if fits]
+        columns = [pa.array(places, pa.list_(pa.int64())) if n == "places" else batch.column(n) for n in _ALIGNED]
+        yield pa.RecordBatch.from_arrays(columns, names=list(_ALIGNED))
+
+
+_ALIGNED = {
+    "doc_id": "long", "item_id": "long", "n_windows": "long", "changed": "boolean", "places": "array<long>",
+}
 
 
 def template_windows(df: DataFrame, id_col: str, wanted: np.ndarray | None = None) -> DataFrame:
-    """``id, pos, n_windows, hash, slots`` of every window of every whole text.
+    """``id, pos, n_windows, hash, slots, places`` of every window of every whole text.
 
-    ``slots`` holds the hashes of what the placeholders stand for, in order.  A
+    ``slots`` holds the hashes of what the placeholders stand for, in order, and
+    ``places`` twice the place of each in the text, plus 1 for a name.  A
     text with fewer words than a window is one window; one without words has
     none.  Windows of placeholders alone say nothing and are left out.  With
     ``wanted`` (ascending hashes) other windows are not returned.
@@ -151,19 +232,19 @@ def _window_rows(part: pa.RecordBatch, id_col: str, wanted: np.ndarray | None) -
     slot_at = np.flatnonzero(slot)
     begin, n = slots_before[at], n_slots[at]
     flat = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    values = pa.ListArray.from_arrays(
-        pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)),
-        pa.array(own[slot_at[flat]].view(np.int64)),
-    )
+    bounds = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+    flat = slot_at[flat]
+    places = 2 * pos[flat] + (token[flat] == _NAME)
     return pa.RecordBatch.from_arrays(
         [
             part.column(0).take(pa.array(owner[at])),
             pa.array(pos[at]),
             pa.array(per_text[owner[at]]),
             pa.array(hashes[at].view(np.int64)),
-            values,
+            pa.ListArray.from_arrays(bounds, pa.array(own[flat].view(np.int64))),
+            pa.ListArray.from_arrays(bounds, pa.array(places)),
         ],
-        names=[id_col, "pos", "n_windows", "hash", "slots"],
+        names=[id_col, "pos", "n_windows", "hash", "slots", "places"],
     )
 
 
@@ -175,8 +256,8 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and benchmark item that it gives away.
 
-    ``doc_id, item_id``, ``n_matched`` (windows of the item found on consistent
-    alignments), ``n_windows`` (all of the item), ``reparameterised`` (some
+    ``doc_id, item_id``, ``n_matched`` (windows of the item found with values
+    that fit along their alignment), ``n_windows`` (all of the item), ``reparameterised`` (some
     placeholder stands for something else).  A pair counts from ``min_windows``
     on, or with all windows of a shorter item.  Null, empty and wordless texts
     match nothing; repeated rows of a document count once.
@@ -193,35 +274,47 @@ def contaminated(
         wanted = np.sort(known.view(np.uint64))
     found = template_windows(docs, "doc_id", wanted).where(F.col("doc_id").isNotNull())
     items = items.select(
-        "item_id", "hash", "n_windows", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")
+        "item_id", "hash", "n_windows", F.col("pos").alias("item_pos"), F.col("slots").alias("a"), "places"
     )
-    found = found.select("doc_id", "hash", "pos", "slots")
+    found = found.select("doc_id", "hash", "pos", F.col("slots").alias("b"))
     pairs = found.join(items, "hash").select(
         "doc_id",
         "item_id",
         "n_windows",
         "item_pos",
         (F.col("pos") - F.col("item_pos")).alias("shift"),
-        F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("z"),
+        F.zip_with(
+            F.arrays_zip("a", "places"),
+            "b",
+            lambda x, b: F.struct(
+                x["a"].alias("a"),
+                b.alias("b"),
+                F.shiftright(x["places"], 1).alias("at"),
+                (x["places"] % 2 == 1).alias("named"),
+            ),
+        ).alias("z"),
     )
-    alignment = ["doc_id", "item_id", "shift"]
-    # One row per value of the benchmark on an alignment: least and greatest
-    # value of the document against it.
-    values = pairs.select(*alignment, F.explode("z").alias("v")).groupBy(*alignment, "v.a").agg(
-        F.min("v.b").alias("least"), F.max("v.b").alias("most")
+    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(
+        F.collect_set(F.struct("item_pos", "z")).alias("w"), F.max("n_windows").alias("n_windows")
     )
-    judged = values.groupBy(*alignment).agg(
-        F.max(F.col("least") != F.col("most")).alias("broken"),
-        F.max((F.col("least") != F.col("a")) | (F.col("most") != F.col("a"))).alias("changed"),
-    )
-    aligned = pairs.groupBy(*alignment).agg(
-        F.collect_set("item_pos").alias("places"), F.max("n_windows").alias("n_windows")
+    # Different pairs of values, and whether a value of the item is in two of them.
+    values = F.array_distinct(F.transform(F.flatten("w.z"), lambda v: F.struct(v["a"], v["b"])))
+    aligned = aligned.withColumn("v", values)
+    broken = F.size(F.array_distinct("v.a")) < F.size("v")
+    aligned = aligned.select(
+        "doc_id",
+        "item_id",
+        "n_windows",
+        F.exists("v", lambda v: v["a"] != v["b"]).alias("changed"),
+        F.col("w.item_pos").alias("places"),
+        F.when(broken, F.col("w.z")).alias("z"),
     )
-    aligned = aligned.join(judged, alignment, "left").where(~F.coalesce("broken", F.lit(False)))
-    per_pair = aligned.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"),
+    aligned = aligned.mapInArrow(_counted, ", ".join(f"{n} {k}" for n, k in _ALIGNED.items()))
+    per_pair = aligned.select("doc_id", "item_id", "n_windows", "changed", F.explode("places").alias("place"))
+    per_pair = per_pair.groupBy("doc_id", "item_id").agg(
+        F.size(F.collect_set("place")).cast("long").alias("n_matched"),
         F.max("n_windows").alias("n_windows"),
-        F.max(F.coalesce("changed", F.lit(False))).alias("reparameterised"),
+        F.max("changed").alias("reparameterised"),
     )
     return per_pair.where(F.col("n_matched") >= F.least(F.lit(min_windows), F.col("n_windows")))
 
