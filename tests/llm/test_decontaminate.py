@@ -77,3 +77,22 @@ def test_windows_that_fit_together():
     many = [[v(9 * k, 100 + k, 7)] * 2 + [v(9 * k + 4, 100 + k, 7)] for k in range(20)]
     more = [[v(9 * k + 8, 100 + k, 8)] for k in range(20)]
     assert decontaminate._fitting(many + more + more) == [False] * 20 + [True] * 40
+
+
+def test_names_that_open_sentences(spark):
+    item = "Tom has 3 apples. Tom buys 5 more. How many apples does Tom have?"
+    once = "Mary sold 48 clips in April and half as many in May so how many clips were sold"
+    inside = once.replace("Mary", "Then Bob").replace("48", "90")
+    texts = [item.replace("Tom", "Ann"), "so " + item.replace("Tom", "Ann"), inside, item.replace("apples", "x")]
+    got = found(spark, texts, [item, once])
+    assert set(got) == {(0, 0), (1, 0), (2, 1)}
+    assert got[0, 0]["n_matched"] == got[0, 0]["n_windows"] == 7
+
+
+def test_short_items_in_long_documents(spark):
+    items = ["The capital of France?", "of the day", "name 5 rivers"]
+    texts = ["we asked for the capital of France and more", "a b of the day c d e f g h", "so name 7 rivers of the world in a row",
+             "Now tell me. Your capital of France?", "of the", "The capital of Peru is not known to us at all"]
+    for limit in (2_000_000, 0):
+        got = found(spark, texts, items, broadcast_windows=limit)
+        assert set(got) == {(0, 0), (1, 1), (2, 2), (5, 0)}

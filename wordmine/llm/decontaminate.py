@@ -2,8 +2,10 @@
 
 A text becomes a template: words are lower-cased and stripped of ASCII marks at
 their ends; a number becomes one placeholder, a capitalised word inside a
-sentence another, a unit after a number a third.  Windows of eight template
-words are joined by hash with those of the benchmark.  What stood in the
+sentence another, a unit after a number a third.  A capitalised word that opens
+a sentence may be a name or not, so windows that hold one are read both ways.
+Windows of eight template words (of fewer for shorter items) are joined by hash
+with those of the benchmark.  What stood in the
 placeholders must fit: along one alignment of an item with a document, equal
 benchmark values must stand against equal document values.  Windows that break
 this are left out; windows equal to the item's word by word always count.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmine.llm.textbytes import LOWER, runs, span_hashes, text_bytes, window_hashes, words
+from wordmine.llm.textbytes import LOWER, item_sums, mix, runs, span_hashes, sum_hashes, text_bytes, words
 
 #: Template words in a window.
 WIDTH = 8
@@ -68,12 +70,16 @@ def _is_in(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[at] == values
 
 
-def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: template words, their own hashes, which are slots, offsets."""
+def templates(
+    texts: pa.Array,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: template words, their own hashes, which are slots, which
+    open a sentence and may be names, offsets."""
     data, offsets = text_bytes(texts)
     starts, ends, first = words(data, offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), first
+        none = np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, first
     core = _CORE[data]
     before = np.zeros(len(data) + 1, np.int32)
     np.cumsum(core, out=before[1:])
@@ -98,6 +104,7 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     opens = np.ones(len(starts), bool)
     opens[1:] = _STOP[data[ends[:-1] - 1]]
     opens[first[:-1][first[:-1] < len(starts)]] = True
+    opener = named & opens
     named &= ~opens
     unit = np.zeros(len(starts), bool)
     after = np.flatnonzero(number[:-1]) + 1
@@ -107,10 +114,10 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
     token = own.copy()
     token[number], token[named & ~number & ~unit], token[unit] = _NUMBER, _NAME, _UNIT
-    return token, own, number | named | unit, first
+    return token, own, number | named | unit, opener & ~number & ~unit, first
 
 
-_ROWS = "`{id}` long, pos long, n_windows long, hash long, slots array<long>, places array<long>"
+_ROWS = "`{id}` long, pos long, n_windows long, hash long, slots array<long>, places array<long>, width long"
 #: Choices of document values up to which the best is looked for among all.
 _CHOICES = 256
 
@@ -189,62 +196,89 @@ _ALIGNED = {
 }
 
 
-def template_windows(df: DataFrame, id_col: str, wanted: np.ndarray | None = None) -> DataFrame:
-    """``id, pos, n_windows, hash, slots, places`` of every window of every whole text.
+def template_windows(
+    df: DataFrame,
+    id_col: str,
+    wanted: np.ndarray | None = None,
+    widths: list[int] | None = None,
+) -> DataFrame:
+    """``id, pos, n_windows, hash, slots, places, width`` of windows of whole texts.
 
     ``slots`` holds the hashes of what the placeholders stand for, in order, and
-    ``places`` twice the place of each in the text, plus 1 for a name.  A
-    text with fewer words than a window is one window; one without words has
-    none.  Windows of placeholders alone say nothing and are left out.  With
-    ``wanted`` (ascending hashes) other windows are not returned.
+    ``places`` four times the place of each in the text, plus 1 for a name, plus
+    2 for a word that has to be the same.  Without ``widths`` a text with fewer
+    words than a window is one window; one without words has none.  With them
+    every text gives its windows of each width.  Windows of placeholders alone say
+    nothing and are left out.  A window with a word that may be a name or not is
+    returned in both readings.  With ``wanted`` (ascending hashes) other windows
+    are not returned.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in runs(batch.column(1)):
                 part = batch.slice(start, stop - start)
-                yield _window_rows(part, id_col, wanted)
+                yield _window_rows(part, id_col, wanted, widths)
 
     only = df.select(F.col(id_col).cast("long"), F.col("text").cast("string"))
     return only.mapInArrow(run, _ROWS.format(id=id_col))
 
 
-def _window_rows(part: pa.RecordBatch, id_col: str, wanted: np.ndarray | None) -> pa.RecordBatch:
-    token, own, slot, first = templates(part.column(1))
+def _window_rows(
+    part: pa.RecordBatch, id_col: str, wanted: np.ndarray | None, widths: list[int] | None
+) -> pa.RecordBatch:
+    token, own, slot, opener, first = templates(part.column(1))
     count = np.diff(first)
-    hashes = np.zeros(len(token), np.uint64)
-    full = window_hashes(token, WIDTH)
-    hashes[: len(full)] = full
-    wide = np.full(len(count), WIDTH)
-    for i in np.flatnonzero((count > 0) & (count < WIDTH)):
-        wide[i] = count[i]
-        hashes[first[i]] = window_hashes(token[first[i] : first[i + 1]], int(count[i]))[0]
-    per_text = np.where(count > 0, np.maximum(count - WIDTH + 1, 1), 0)
     owner = np.repeat(np.arange(len(count)), count)
     pos = np.arange(len(token)) - first[owner]
-    slots_before = np.concatenate(([0], np.cumsum(slot)))
-    last = np.minimum(np.arange(len(token)) + wide[owner], len(token))
-    n_slots = slots_before[last] - slots_before[:-1]
-    keep = (pos < per_text[owner]) & (n_slots < wide[owner])
-    if wanted is not None:
-        keep &= _is_in(hashes, wanted)
-    at = np.flatnonzero(keep)
-    slot_at = np.flatnonzero(slot)
-    begin, n = slots_before[at], n_slots[at]
-    flat = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    left = count[owner] - pos
+    per_text = np.where(count > 0, np.maximum(count - WIDTH + 1, 1), 0)
+    kind = ((token == _NAME) | opener).astype(np.int64)
+    if widths is None:
+        # In an item shorter than a window a word that opens a sentence is a name
+        # only if it is one inside a sentence, too.
+        key = own ^ mix(owner.astype(np.uint64))
+        short = opener & (count[owner] < WIDTH)
+        kind[short & ~np.isin(key, key[token == _NAME])] += 2
+    openers = np.concatenate(([0], np.cumsum(opener)))
+    readings = [(token, slot)]
+    if openers[-1]:
+        readings.append((np.where(opener, _NAME, token), slot | opener))
+    found = []
+    for k, (words_read, slots_read) in enumerate(readings):
+        sums = item_sums(words_read)
+        slot_at = np.flatnonzero(slots_read)
+        before = np.concatenate(([0], np.cumsum(slots_read)))
+        for width in widths or np.unique(np.minimum(count[count > 0], WIDTH)).tolist():
+            fits = left >= width
+            if widths is None:
+                fits &= np.minimum(count, WIDTH)[owner] == width
+            at = np.flatnonzero(fits)
+            if k:
+                at = at[openers[at + width] > openers[at]]
+            hashes = sum_hashes(sums, at, width)
+            keep = before[at + width] - before[at] < width
+            if wanted is not None:
+                keep &= _is_in(hashes, wanted)
+            at = at[keep]
+            begin, n = before[at], before[at + width] - before[at]
+            flat = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            found.append((at, hashes[keep], n, slot_at[flat], np.full(len(at), width)))
+    none = np.zeros(0, np.int64)
+    found.append((none, none.view(np.uint64), none, none, none))
+    at, hashes, n, flat, wide = (np.concatenate(x) for x in zip(*found, strict=True))
     bounds = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-    flat = slot_at[flat]
-    places = 2 * pos[flat] + (token[flat] == _NAME)
     return pa.RecordBatch.from_arrays(
         [
             part.column(0).take(pa.array(owner[at])),
             pa.array(pos[at]),
             pa.array(per_text[owner[at]]),
-            pa.array(hashes[at].view(np.int64)),
+            pa.array(hashes.view(np.int64)),
             pa.ListArray.from_arrays(bounds, pa.array(own[flat].view(np.int64))),
-            pa.ListArray.from_arrays(bounds, pa.array(places)),
+            pa.ListArray.from_arrays(bounds, pa.array(4 * pos[flat] + kind[flat])),
+            pa.array(wide),
         ],
-        names=[id_col, "pos", "n_windows", "hash", "slots", "places"],
+        names=[id_col, "pos", "n_windows", "hash", "slots", "places", "width"],
     )
 
 
@@ -266,13 +300,16 @@ def contaminated(
     which then returns only windows that can match.  Beyond, all windows are
     joined by hash.
     """
-    items = template_windows(benchmark, "item_id").dropDuplicates(["item_id", "pos"])
-    distinct = items.select("hash").distinct().limit(broadcast_windows + 1)
-    known = distinct.toPandas()["hash"].to_numpy(np.int64)
+    items = template_windows(benchmark, "item_id").dropDuplicates(["item_id", "pos", "hash"])
+    distinct = items.select("hash", "width").distinct().limit(broadcast_windows + 1).toPandas()
+    known, wide = distinct["hash"].to_numpy(np.int64), distinct["width"]
     wanted = None
     if len(known) <= broadcast_windows:
         wanted = np.sort(known.view(np.uint64))
-    found = template_windows(docs, "doc_id", wanted).where(F.col("doc_id").isNotNull())
+    else:
+        wide = items.select("width").distinct().toPandas()["width"]
+    widths = sorted({WIDTH, *wide.tolist()})
+    found = template_windows(docs, "doc_id", wanted, widths).where(F.col("doc_id").isNotNull())
     items = items.select(
         "item_id", "hash", "n_windows", F.col("pos").alias("item_pos"), F.col("slots").alias("a"), "places"
     )
@@ -289,11 +326,13 @@ def contaminated(
             lambda x, b: F.struct(
                 x["a"].alias("a"),
                 b.alias("b"),
-                F.shiftright(x["places"], 1).alias("at"),
+                F.shiftright(x["places"], 2).alias("at"),
                 (x["places"] % 2 == 1).alias("named"),
+                (x["places"] % 4 > 1).alias("same"),
             ),
         ).alias("z"),
     )
+    pairs = pairs.where(~F.exists("z", lambda v: v["same"] & (v["a"] != v["b"])))
     aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(
         F.collect_set(F.struct("item_pos", "z")).alias("w"), F.max("n_windows").alias("n_windows")
     )

@@ -124,3 +124,16 @@ def window_hashes(items: np.ndarray, width: int) -> np.ndarray:
         out = (out * _BASE) ^ items[k : k + n]
         out = out ^ (out >> np.uint64(29))
     return mix(out)
+
+
+def item_sums(items: np.ndarray) -> np.ndarray:
+    """Prefix sums out of which ``sum_hashes`` takes the hash of any window."""
+    sums = np.zeros(len(items) + 1, np.uint64)
+    np.cumsum(items * _powers(len(items) + 1)[0][: len(items)], out=sums[1:])
+    return sums
+
+
+def sum_hashes(sums: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` items from each start on, as in ``span_hashes``."""
+    spans = (sums[starts + width] - sums[starts]) * _powers(len(sums))[1][starts]
+    return mix(spans ^ (np.uint64(width) << np.uint64(48)))
