@@ -37,7 +37,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in a sequence."""
-    pieces = packing.token_pieces(docs, vocabulary("word_bpe_49k.json"))
+    pieces = packing.token_pieces(docs, vocabulary("word_bpe_49k.json"), added=True)
     return packing.pack(materialize(pieces))
 
 

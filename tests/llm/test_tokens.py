@@ -173,3 +173,38 @@ def test_id_file_query(spark):
         place += len(ids)
     got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows]
     assert sorted(got) == want
+
+
+LITERALS = [
+    "<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> a", "x<|startoftext|><|endoftext|>", "<|endoftext|", "|>",
+    "<|endof", "text|>", "<|<|endoftext|>|>", "é<|endoftext|>\u0301 日", "<|ENDOFTEXT|>", None, "it's<|endoftext|>'s",
+]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_in_an_untouched_tokenizer(name):
+    rng = random.Random(7)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "a", "word", "é", ".", "\n", "endoftext"]
+    texts = LITERALS + ODD + ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(1500)]
+    path = vocabulary(name)
+    t = Tokenizer.from_file(path)
+    encoder = tokens.PieceEncoder(path, remember=50, added=True)
+    for whole in (False, True):
+        encoder.whole = whole
+        ids, offsets = encoder.encode(pa.array(texts))
+        for i, text in enumerate(texts):
+            want = t.encode(text or "", add_special_tokens=False).ids + [0]
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == want, text
+
+
+def test_queries_read_added_tokens(spark, tmp_path):
+    rows = [(i, x) for i, x in enumerate(LITERALS)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, file in (("op10_token_id_files", "byte_bpe_50k.json"), ("op3_best_fit_packing", "word_bpe_49k.json")):
+        t = Tokenizer.from_file(vocabulary(file))
+        want = {
+            i: zlib.crc32(np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4").tobytes())
+            for i, x in rows
+        }
+        got = all_queries()[name](spark, str(tmp_path)).collect()
+        assert {r["doc_id"]: r["ids_crc32"] for r in got} == want

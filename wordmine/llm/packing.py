@@ -30,16 +30,19 @@ SIZE = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, path: str, size: int = SIZE, keep_ids: bool = False) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, path: str, size: int = SIZE, keep_ids: bool = False, added: bool = False
+) -> DataFrame:
     """The pieces of every whole text: ``doc_id, piece, start, length, ids_crc32``.
 
     Only a document of more than ``size`` ids is cut; its last piece may be
     shorter.  A null text is empty and gives one piece, the end id.  With
-    ``keep_ids`` the column ``ids`` (little-endian, four bytes each) follows.
+    ``keep_ids`` the column ``ids`` (little-endian, four bytes each) follows.  ``added``
+    reads added tokens in the texts as the library does by default.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, offsets in encode_batches(batches, path):
+        for part, ids, offsets in encode_batches(batches, path, added):
             ids = ids.astype("<u4")
             sizes = np.diff(offsets)
             n = -(-sizes // size)

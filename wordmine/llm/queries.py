@@ -40,14 +40,14 @@ def vocabulary(name: str) -> str:
 
 @query
 def op3_best_fit_packing(spark, sf):
-    pieces = packing.token_pieces(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
+    pieces = packing.token_pieces(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), added=True)
     return packing.pack(materialize(pieces))
 
 
 @query
 def op10_token_id_files(spark, sf):
     path = vocabulary("byte_bpe_50k.json")
-    ids = materialize(tokens.token_ids(table(spark, sf, "documents"), path), compression="zstd")
+    ids = materialize(tokens.token_ids(table(spark, sf, "documents"), path, added=True), compression="zstd")
     out = new_folder(spark, "ids")
     idfiles.write_ids(ids, out, tokens.id_type(path).str)
     return idfiles.read_ids(spark, out, digest=True)

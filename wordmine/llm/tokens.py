@@ -9,6 +9,9 @@ Where a cut is safe: before white space that follows a character that is not
 white space, and between an ASCII letter and an ASCII mark.  No pattern of
 either vocabulary file matches across such a place or looks back over it, and
 no normaliser joins the characters beside it.
+
+The library's own reading of added tokens such as ``<|endoftext|>`` (one id
+wherever a text holds them) is had with ``added``; each is then one piece.
 """
 
 from __future__ import annotations
@@ -74,17 +77,31 @@ class PieceEncoder:
     Plain words are given to the library many to a text, which it does faster
     than many texts.  Their ids are told apart by the vocabulary's own marks: an
     id that opens with a space, or one that ends a word.
+
+    With ``added`` the added tokens of the file are found in texts, as the library
+    does by default; without it they are text like any other.
     """
 
     LONGEST = 64
     TOGETHER = 1000
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 1_000_000, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.literal, self.whole = None, False
+        if added:
+            listed = list(self.tokenizer.get_added_tokens_decoder().values())
+            longest = sorted((t.content.encode() for t in listed), key=len, reverse=True)
+            self.literal = re.compile(b"|".join(map(re.escape, longest))) if longest else None
+            # Such tokens depend on what is beside them, so their texts stay whole.
+            self.whole = any(
+                t.lstrip or t.rstrip or t.single_word or t.normalized or re.search(r"\s", t.content)
+                for t in listed
+            )
+        else:
+            self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.remember = remember
         names = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -154,10 +171,33 @@ class PieceEncoder:
         self.lengths = np.concatenate((self.lengths, lengths))
         return slots
 
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the pieces start; an added token is a piece of its own."""
+        if self.whole:
+            starts = np.unique(offsets[:-1])
+            return starts[starts < len(data)]
+        starts = cut_points(data, offsets)
+        if self.literal is None:
+            return starts
+        raw, spans, at = data.tobytes(), [], 0
+        while m := self.literal.search(raw, at):
+            at = m.end()
+            if np.searchsorted(offsets, m.start(), "right") < np.searchsorted(offsets, at - 1, "right"):
+                at = m.start() + 1  # from one text into the next
+            else:
+                spans.append(m.span())
+        if not spans:
+            return starts
+        opens, ends = np.array(spans, np.int64).T
+        k = np.searchsorted(opens, starts, "right") - 1
+        inside = (k >= 0) & (starts < ends[k])
+        starts = np.union1d(starts[~inside], np.concatenate((opens, ends)))
+        return starts[starts < len(data)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, each text closed by END_ID, and their n + 1 offsets."""
         data, offsets = text_bytes(texts)
-        starts = cut_points(data, offsets)
+        starts = self._cuts(data, offsets)
         bounds = np.append(starts, len(data)).astype(np.int64)
         pieces = pa.Array.from_buffers(
             pa.large_binary(),
@@ -175,31 +215,31 @@ class PieceEncoder:
         return ids, np.concatenate(([0], ends))
 
 
-_ENCODERS: dict[str, PieceEncoder] = memory()
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = memory()
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, added: bool = False) -> PieceEncoder:
     """One per Python worker and vocabulary, so that what it remembers lasts."""
     only(_ENCODERS)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = PieceEncoder(path, added=added)
+    return _ENCODERS[path, added]
 
 
 def encode_batches(
-    batches: Iterator[pa.RecordBatch], path: str
+    batches: Iterator[pa.RecordBatch], path: str, added: bool = False
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the ids and offsets of their column ``text``."""
-    encode = encoder(path).encode
+    encode = encoder(path, added).encode
     for batch in batches:
         for start, stop in runs(batch.column("text"), 8 << 20):
             part = batch.slice(start, stop - start)
             yield part, *encode(part.column("text"))
 
 
-def id_type(path: str) -> np.dtype:
+def id_type(path: str, added: bool = False) -> np.dtype:
     """Two bytes for an id where the vocabulary allows it, else four."""
-    return np.dtype("<u2") if encoder(path).vocabulary <= 1 << 16 else np.dtype("<u4")
+    return np.dtype("<u2") if encoder(path, added).vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
 def binaries(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -213,15 +253,16 @@ def binaries(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return array.cast(pa.binary())
 
 
-def token_ids(docs: DataFrame, path: str) -> DataFrame:
+def token_ids(docs: DataFrame, path: str, added: bool = False) -> DataFrame:
     """``doc_id, ids``: little-endian ids of every whole text, END_ID last.
 
-    A null text counts as empty, so its ids are END_ID alone.
+    A null text counts as empty, so its ids are END_ID alone.  ``added`` reads
+    added tokens in the texts as the library does by default.
     """
 
     def run(batches):
-        kind = id_type(path)
-        for part, ids, offsets in encode_batches(batches, path):
+        kind = id_type(path, added)
+        for part, ids, offsets in encode_batches(batches, path, added):
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), binaries(ids.astype(kind), offsets)],
                 names=["doc_id", "ids"],
