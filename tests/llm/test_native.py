@@ -187,6 +187,19 @@ def test_trees_learn_lexical_features(spark):
     assert {r["page_id"]: r["verdict"] for r in again} == verdicts
 
 
+def test_statistics_of_all_labelled_rows(spark):
+    rows = [("http://same.com/1", 1)] * 50
+    rows += [(f"http://s{i}.a{i}.net/{i}", i % 2) for i in range(40)] + [("http://s1.a1.net/1", 1)] * 3
+    table = spark.createDataFrame(rows, "url string, label int")
+    model = urls.UrlModel(table, sample=10)
+    suffix = {r["suffix"]: (r["suffix_share"], r["suffix_block"]) for r in model.suffix.collect()}
+    assert suffix == {"com": (50 / 93, 51 / 52), "net": (43 / 93, 24 / 45)}
+    site = {r["site"]: r["label_block"] for r in model.site.collect()}
+    assert len(site) == 41 and site["s1"] == 5 / 6 and site["s2"] == 1 / 3 and site["same"] == 51 / 52
+    # A URL in more copies than the sample has rows does not fill it.
+    assert urls.UrlModel(spark.createDataFrame(rows * 2, table.schema), sample=30).trees is not None
+
+
 def test_url_query(spark):
     rows = all_queries()["op7_url_trees"](spark, SMALL).collect()
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}

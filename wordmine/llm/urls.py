@@ -22,7 +22,7 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: Labelled URLs that the trees are fitted on: the most from which Spark looks at
+#: Different labelled URLs that the trees are fitted on: the most from which Spark looks at
 #: every value when it chooses split points, so the fit does not hang on layout.
 SAMPLE_URLS = 10_000
 TREES, DEPTH, BINS = 10, 4, 64
@@ -77,12 +77,14 @@ def _first_label(host: str = "host") -> Column:
 
 
 def suffix_statistics(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Share and smoothed block rate of host suffixes, and block rate of site names."""
-    # Both have a row per name in the bounded sample at most.
+    """Share and smoothed block rate of host suffixes, and block rate of site names.
+
+    ``labelled`` holds ``host``, ``label`` and ``n``, the number of such rows.
+    """
     sums = lambda name, c: labelled.groupBy(c.alias(name)).agg(
-        F.count("*").alias("n"), F.sum("label").alias("bad")
+        F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("bad")
     )
-    total = F.lit(max(1, labelled.count()))
+    total = F.lit(max(1, labelled.agg(F.sum("n")).first()[0] or 0))
     suffix = sums("suffix", _suffix()).select(
         "suffix",
         (F.col("n") / total).alias("suffix_share"),
@@ -116,7 +118,7 @@ def features(pages: DataFrame, suffix: DataFrame, site: DataFrame) -> DataFrame:
             "site": _first_label(),
         }
     )
-    rows = rows.join(F.broadcast(suffix), "suffix", "left").join(F.broadcast(site), "site", "left")
+    rows = rows.join(suffix, "suffix", "left").join(site, "site", "left")
     rows = rows.fillna({"suffix_share": 0.0, "suffix_block": 0.5, "label_block": 0.5})
     return rows.withColumns({c: F.col(c).cast("double") for c in FEATURES})
 
@@ -127,20 +129,29 @@ class UrlModel:
     def __init__(self, labelled: DataFrame, sample: int = SAMPLE_URLS):
         """``labelled`` holds ``url`` and ``label`` (1: block).
 
-        Of more than ``sample`` rows those with the smallest hash are taken.
+        The statistics count every row.  The trees are fitted on different URLs
+        with their numbers of rows as weights; of more than ``sample`` those with
+        the smallest hash are taken.  A URL with both labels is there with both.
         """
-        rows = with_parts(labelled.select("url", "label").where("url is not null and label is not null"))
-        rows = rows.orderBy(F.xxhash64("url"), "url", "label").limit(sample)
-        rows = materialize(rows.coalesce(1))
-        self.suffix, self.site = (materialize(t) for t in suffix_statistics(rows))
+        known = labelled.select("url", "label").where("url is not null and label is not null")
+        hosts = with_parts(known).groupBy("host", "label").agg(F.count("*").alias("n"))
+        self.suffix, self.site = (materialize(t) for t in suffix_statistics(materialize(hosts)))
+        urls = known.groupBy("url").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+        rows = urls.orderBy(F.xxhash64("url"), "url").limit(sample)
+        both = F.array(
+            F.struct(F.lit(0).alias("label"), (F.col("n") - F.col("bad")).cast("double").alias("n")),
+            F.struct(F.lit(1).alias("label"), F.col("bad").cast("double").alias("n")),
+        )
+        rows = rows.coalesce(1).select("url", F.inline(both)).where("n > 0")
+        rows = materialize(with_parts(rows))
         seen = sorted(r["label"] for r in rows.select("label").distinct().collect())
         self.constant, self.trees = (float(seen[0]) if seen else 0.0), None
         if len(seen) > 1:
             gbt = GBTClassifier(
                 featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH,
-                maxBins=BINS, stepSize=0.3, seed=1, maxMemoryInMB=256,
+                maxBins=BINS, stepSize=0.3, seed=1, maxMemoryInMB=256, weightCol="n",
             )
-            self.trees = gbt.fit(self._assembled(rows).select("x", F.col("label").cast("double")))
+            self.trees = gbt.fit(self._assembled(rows).select("x", F.col("label").cast("double"), "n"))
 
     def _assembled(self, pages: DataFrame) -> DataFrame:
         rows = features(pages, self.suffix, self.site)
