@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from wordmine.llm import pii
 from wordmine.llm.queries import all_queries
 
@@ -77,6 +79,36 @@ def test_labels_spread_to_repetitions():
     assert pii.masked(text, base + added).count("<phone>") == 2
 
 
+def test_labels_reach_fifty_repetitions():
+    rng = random.Random(6)
+    texts = []
+    for _ in range(200):
+        p = phone(rng)
+        texts.append(f"call {p} or later {p} now, version {rng.randrange(9)}.0 of {rng.randrange(1000, 99999)} rows")
+        m = f"bo.smith{rng.randrange(99)}@mail.example.com"
+        texts.append(f"write to {m} or to {m} on {rng.randrange(2000)}")
+    field = pii.fit_field(graphs(texts))
+    p = phone(rng)
+    far = " and so it goes on for a while with many words, of which none says anything"
+    names = "Mail jo.doe@x.example.org." + (far + ", said jo.doe again") * 50
+    calls = f"call {p} first." + (far + f": {p[3:]} it was") * 50
+    for text, kind, value in ((names, 0, "jo.doe"), (calls, 3, p[3:].strip())):
+        added = pii.added_spans([text], [pii.base_spans(text)], field)[0]
+        assert [(k, text[s:e]) for k, s, e in added] == [(kind, value)] * 50
+
+
+def test_messages_settle_along_a_chain():
+    field = pii.Field()
+    known = np.array([3] + [0] * 30)
+    log_node = pii._clamped(np.zeros((31, 5)), known)
+    edges = np.array([(i, i + 1, 1) for i in range(30)])
+    belief, _ = field.marginals(log_node, edges, settle=True)
+    agree = np.exp(5.0) / (np.exp(5.0) + 4)
+    step = agree - (1 - agree) / 4  # a tree, so beliefs are exact
+    want = 0.2 + 0.8 * step ** np.arange(31)
+    assert np.abs(belief[:, 3] - want).max() < 0.02
+
+
 def test_query_and_mask(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = all_queries()["op2_personal_data"](spark, SMALL).collect()

@@ -6,7 +6,8 @@ an @ (and words that are the name of an address found in the text): a node with
 features of its form and its neighbours.  Nodes that stand close are joined by a
 chain edge; equal ones (the same last digits, the same name) by a strong skip
 edge; those of the same shape by a weak one, each to the one before it, so edges
-grow with the nodes.  Nodes inside a pattern's match are known.  Loopy message
+grow with the nodes; and a node that equals a known one has a strong edge to the
+nearest of them, however far away.  Nodes inside a pattern's match are known.  Loopy message
 passing carries their labels to the rest of the document.
 
 Node and edge weights are fitted here, on a sample of documents whose pattern
@@ -172,7 +173,7 @@ def graph(text: str, base: list[Span], most: int | None = None) -> Graph:
             if places[at][1] > start:
                 known[at] = kind + 1
             at += 1
-    edges, last = [], {}
+    edges, last, equal = [], {}, {}
     for k, (start, end) in enumerate(places):
         if k and start - places[k - 1][1] <= 24:
             edges.append((k - 1, k, 0))
@@ -181,6 +182,16 @@ def graph(text: str, base: list[Span], most: int | None = None) -> Graph:
                 if (kind, key) in last:
                     edges.append((last[kind, key], k, kind))
                 last[kind, key] = k
+                if kind == 1:
+                    equal.setdefault(key, []).append(k)
+    for group in equal.values():
+        sure = [i for i, k in enumerate(group) if known[k]]
+        for i, k in enumerate(group):
+            if sure and not known[k]:
+                at = int(np.searchsorted(sure, i))
+                near = min(sure[max(0, at - 1) : at + 1], key=lambda x: abs(x - i))
+                if abs(near - i) > 1:
+                    edges.append((*sorted((group[near], k)), 1))
     return places, [_features(text, s, e) for s, e in places], known, edges
 
 
@@ -206,7 +217,9 @@ def _without_overlaps(places, taken, mails):
 class Field:
     """Node weights (features x labels) and one label matrix per edge type."""
 
+    #: Rounds of messages while fitting, and change under which they are settled.
     ROUNDS = 6
+    SETTLED = 1e-3
 
     def __init__(self):
         k = len(LABELS)
@@ -228,8 +241,14 @@ class Field:
         np.add.at(out, owner, self.node[flat])
         return out
 
-    def marginals(self, log_node: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Beliefs of nodes and of edges after some rounds of damped messages."""
+    def marginals(
+        self, log_node: np.ndarray, edges: np.ndarray, settle: bool = False
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Beliefs of nodes and of edges after some rounds of damped messages.
+
+        With ``settle`` rounds go on until no message changes, or until one could
+        have passed every node.
+        """
         n, k = log_node.shape
         if not len(edges):
             return _softmax(log_node), np.zeros((0, k, k))
@@ -237,14 +256,18 @@ class Field:
         w = self.edge[kind]
         to_b = np.zeros((len(edges), k))
         to_a = np.zeros((len(edges), k))
-        for _ in range(self.ROUNDS):
+        for _ in range(self.ROUNDS + (4 * n + 50 if settle else 0)):
             total = log_node.copy()
             np.add.at(total, b, to_b)
             np.add.at(total, a, to_a)
             new_b = _log_sum((total[a] - to_a)[:, :, None] + w, 1)
             new_a = _log_sum((total[b] - to_b)[:, None, :] + w, 2)
-            to_b = 0.5 * to_b + 0.5 * (new_b - _log_sum(new_b, 1)[:, None])
-            to_a = 0.5 * to_a + 0.5 * (new_a - _log_sum(new_a, 1)[:, None])
+            off_b = new_b - _log_sum(new_b, 1)[:, None] - to_b
+            off_a = new_a - _log_sum(new_a, 1)[:, None] - to_a
+            to_b += 0.5 * off_b
+            to_a += 0.5 * off_a
+            if settle and max(np.abs(off_b).max(), np.abs(off_a).max()) < self.SETTLED:
+                break
         total = log_node.copy()
         np.add.at(total, b, to_b)
         np.add.at(total, a, to_a)
@@ -268,8 +291,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def _clamped(log_node: np.ndarray, known: np.ndarray) -> np.ndarray:
     out = log_node.copy()
     fixed = known > 0
-    out[fixed] = -50.0
-    out[fixed, known[fixed]] = 50.0
+    # More than all messages to a node can add up to.
+    out[fixed] = -1e6
+    out[fixed, known[fixed]] = 1e6
     return out
 
 
@@ -351,7 +375,7 @@ def added_spans(texts: list[str], bases: list[list[Span]], field: Field) -> list
     if not features:
         return [[] for _ in texts]
     known, edges = np.array(known), np.array(edges, np.int64).reshape(-1, 3)
-    belief, _ = field.marginals(_clamped(field.potentials(features), known), edges)
+    belief, _ = field.marginals(_clamped(field.potentials(features), known), edges, settle=True)
     strong = edges[edges[:, 2] == 1]
     linked = np.zeros(len(features), bool)
     linked[strong[:, :2].ravel()] = True
