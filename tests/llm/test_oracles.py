@@ -12,9 +12,11 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(all_oracles()))
 def test_query(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for t in ("documents", "conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = all_queries()[name](spark, SMALL)
     cols = sorted(df.columns)
-    got = sorted(tuple(r) for r in df.select(*cols).collect())
-    assert got == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({all_oracles()[name]})").fetchall())
+    got = sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+    expected = con.execute(f"SELECT {', '.join(cols)} FROM ({all_oracles()[name]})").fetchall()
+    assert got == sorted(expected, key=repr)
     con.close()

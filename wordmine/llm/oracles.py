@@ -8,6 +8,25 @@ from __future__ import annotations
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+# CRC-32, by its table of 256 entries.
+_CRC_TABLE = """crc_table AS MATERIALIZED (
+            SELECT list_transform(range(256), lambda i: list_reduce(
+                list_concat([i], range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t)"""
+
+
+def _crc32(s: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, where ``crc_table`` is in reach."""
+    return f"""xor(list_reduce(
+                list_concat([4294967295::BIGINT],
+                    list_transform(range(1, strlen({s}) + 1), lambda i: ascii(substr({s}, i, 1))::BIGINT)),
+                lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"""
+
+
+def _leaf(text: str) -> str:
+    parts = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts) + ")"
+
+
 ORACLES: dict[str, str] = {
     # Every pair of documents with a common shingle, and all that links reach.
     "op6_ngram_jaccard_join": rf"""
@@ -36,6 +55,55 @@ ORACLES: dict[str, str] = {
         SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.m) AS component_id
         FROM w JOIN r ON r.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
         GROUP BY w.doc_id, n.n""",
+    # Every tree level by level, then every row folded along its path.
+    "op12_merkle_manifest": rf"""
+        WITH RECURSIVE {_CRC_TABLE},
+        l AS MATERIALIZED (
+          SELECT doc_id, lang, {_leaf('text')} AS leaf,
+            CASE WHEN {_crc32('doc_id::VARCHAR')} % 3 = 0 THEN {_leaf(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')")} END AS other
+          FROM documents, crc_table),
+        p AS MATERIALIZED (
+          SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g,
+            row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+        -- Nodes of each language's tree, level by level.
+        a AS (
+          SELECT g, 0 AS lvl, pos, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM p
+          UNION ALL
+          SELECT g, lvl + 1, pos // 8, sha256(string_agg(d, '' ORDER BY pos)), (any_value(n) + 7) // 8
+          FROM a WHERE n > 1 GROUP BY g, lvl, pos // 8),
+        -- The same over the languages.
+        b AS (
+          SELECT 0 AS lvl, g - 1 AS pos, d, count(*) OVER () AS n FROM a WHERE n = 1
+          UNION ALL
+          SELECT lvl + 1, pos // 8, sha256(string_agg(d, '' ORDER BY pos)), (any_value(n) + 7) // 8
+          FROM b WHERE n > 1 GROUP BY lvl, pos // 8),
+        runs AS MATERIALIZED (
+          SELECT g, lvl, pos // 8 AS run, list(d ORDER BY pos) AS ds FROM a WHERE n > 1 GROUP BY g, lvl, pos // 8),
+        tops AS MATERIALIZED (
+          SELECT lvl, pos // 8 AS run, list(d ORDER BY pos) AS ds FROM b WHERE n > 1 GROUP BY lvl, pos // 8),
+        steps AS (
+          SELECT p.g, p.pos, lvl, ds, (p.pos >> (3 * lvl)) % 8 AS k
+          FROM p JOIN runs ON runs.g = p.g AND runs.run = p.pos >> (3 * lvl + 3)
+          UNION ALL
+          SELECT p.g, p.pos, 100 + lvl, ds, ((p.g - 1) >> (3 * lvl)) % 8
+          FROM p JOIN tops ON tops.run = (p.g - 1) >> (3 * lvl + 3)),
+        paths AS MATERIALIZED (
+          SELECT g, pos, row_number() OVER (PARTITION BY g, pos ORDER BY lvl) AS i,
+            array_to_string(ds[:k], '') AS lft, array_to_string(ds[k + 2:], '') AS rgt
+          FROM steps),
+        f AS (
+          SELECT g, pos, 0 AS i, coalesce(other, leaf) AS d FROM p
+          UNION ALL
+          SELECT f.g, f.pos, f.i + 1, sha256(lft || d || rgt)
+          FROM f JOIN paths ON paths.g = f.g AND paths.pos = f.pos AND paths.i = f.i + 1),
+        folded AS (SELECT g, pos, arg_max(d, i) AS d FROM f GROUP BY g, pos),
+        proofs AS (SELECT g, pos, string_agg(lft || rgt, '' ORDER BY i) AS w FROM paths GROUP BY g, pos)
+        SELECT p.doc_id, p.leaf, s.d AS subroot, r.d AS root, sha256(coalesce(w, '')) AS proof_sha256,
+          folded.d AS folded_root, folded.d = r.d AS verified
+        FROM p JOIN (SELECT g, d FROM a WHERE n = 1) s ON s.g = p.g
+        CROSS JOIN (SELECT d FROM b WHERE n = 1) r
+        JOIN folded ON folded.g = p.g AND folded.pos = p.pos
+        LEFT JOIN proofs ON proofs.g = p.g AND proofs.pos = p.pos""",
 }
 
 

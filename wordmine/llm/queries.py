@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmine.llm import decontaminate, idfiles, jaccard, langid, ngramllr, packing, pii, quality, sharding, tokens, urls
+from wordmine.llm import decontaminate, idfiles, jaccard, langid, merkle, ngramllr, packing, pii, quality, sharding, tokens, urls
 from wordmine.session import materialize, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,8 @@ def op9_ngram_ratio_rules(spark, sf):
     docs = table(spark, sf, "documents")
     weights = ngramllr.bucket_weights(docs, ngramllr.trusted_ids(table(spark, sf, "labels")))
     return ngramllr.judged(docs, materialize(weights))
+
+
+@query
+def op12_merkle_manifest(spark, sf):
+    return merkle.manifest(table(spark, sf, "documents"))
