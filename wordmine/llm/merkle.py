@@ -23,9 +23,10 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordmine.llm.places import placed
 from wordmine.session import materialize
 
 #: Nodes of a run, as a power of two, and levels of a block.
@@ -140,28 +141,6 @@ def leaves(docs: DataFrame) -> DataFrame:
 _BLOCK = "g string, block long, n long, ids array<long>, nodes array<binary>, others array<binary>"
 
 
-def placed(nodes: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``pos``, the place within the group, and ``n``, the size of the group.
-
-    Rows are dealt to ranges of the order and numbered inside each; only a row per
-    group and range is added up beyond, so a group may be of any size.
-    """
-    ranged = nodes.repartitionByRange("g", *order).sortWithinPartitions("g", *order)
-    ranged = materialize(ranged.withColumn("_id", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_range", F.shiftright("_id", 33))
-    parts = ranged.groupBy("g", "_range").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    group = Window.partitionBy("g")
-    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(
-        "g",
-        "_range",
-        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-        F.sum("_n").over(group).alias("n"),
-    )
-    joined = ranged.join(parts, ["g", "_range"])
-    return joined.select(*nodes.columns, (F.col("_id") + F.col("_shift")).alias("pos"), "n")
-
-
 def layer(nodes: DataFrame, levels: int) -> DataFrame:
     """Blocks of a layer with their roots; ``nodes`` has ``g, pos, n, doc_id, node, other``."""
 
@@ -290,11 +269,11 @@ def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     ``folded_root`` what its leaf leads to after the tampering.  A task appends
     blocks of ``8 ** levels`` nodes.  Tables are stored at once.
     """
-    below = layers(placed(leaves(docs), ["doc_id", "node"]), levels)
+    below = layers(placed(leaves(docs), ["g"], ["doc_id", "node"]), levels)
     none, root = F.lit(None), F.col("root")
     names = below[-1].select(F.lit("").alias("g"), F.col("g").alias("name"), root.alias("node"))
     names = names.withColumns({"doc_id": none.cast("long"), "other": none.cast("binary")})
-    names = materialize(placed(names, ["name"]))
+    names = materialize(placed(names, ["g"], ["name"]))
     langs = layers(names.drop("name"), levels)
     path = F.expr("cast(array() as array<struct<left: binary, right: binary>>)").alias("path")
     top = langs[-1].select("g", "block", path, root.alias("subroot"), root.alias("top"))

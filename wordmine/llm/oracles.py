@@ -55,6 +55,42 @@ ORACLES: dict[str, str] = {
         SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.m) AS component_id
         FROM w JOIN r ON r.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
         GROUP BY w.doc_id, n.n""",
+    # Every prefix of every rebuilt conversation as the text of its turns' hashes.
+    "op11_conversation_trie": rf"""
+        WITH {_CRC_TABLE},
+        t AS MATERIALIZED (
+          SELECT conv_id, m, k, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS pos
+          FROM (SELECT *, sha256(strlen(r) || ':' || r || x) AS m,
+                  len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS k
+                FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x
+                      FROM conversations WHERE conv_id IS NOT NULL))),
+        c AS MATERIALIZED (
+          SELECT conv_id, {_crc32('conv_id::VARCHAR')} % 4 AS h
+          FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+        b AS (
+          SELECT c.conv_id, pos, m, k FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND pos <= h
+          UNION ALL
+          SELECT c.conv_id, pos, m, k FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+        p AS MATERIALIZED (
+          SELECT conv_id, 0 AS d, '' AS s, 0 AS k FROM c
+          UNION ALL
+          SELECT conv_id, row_number() OVER o, string_agg(m, '') OVER o, k FROM b
+          WINDOW o AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+        ends AS (
+          SELECT s, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS e
+          FROM (SELECT conv_id, arg_max(s, d) AS s FROM p GROUP BY conv_id) GROUP BY s),
+        n AS MATERIALIZED (
+          SELECT s, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(k) AS saved
+          FROM p GROUP BY s),
+        kids AS (SELECT left(s, -64) AS s, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+        -- A node's ancestors are the beginnings of its smallest member.
+        sub AS (
+          SELECT p.s, sum(saved) AS saved_tokens, count(*) FILTER (NOT EXISTS (FROM kids WHERE kids.s = n.s)) AS n_leaves
+          FROM n JOIN p ON p.conv_id = n.conv_id AND p.d <= n.depth GROUP BY p.s)
+        SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+          n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+        FROM n JOIN sub ON sub.s = n.s LEFT JOIN n u ON n.depth > 0 AND u.s = left(n.s, -64)
+        LEFT JOIN kids ON kids.s = n.s LEFT JOIN ends ON ends.s = n.s""",
     # Every tree level by level, then every row folded along its path.
     "op12_merkle_manifest": rf"""
         WITH RECURSIVE {_CRC_TABLE},

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmine.llm import decontaminate, idfiles, jaccard, langid, merkle, ngramllr, packing, pii, quality, sharding, tokens, urls
+from wordmine.llm import decontaminate, idfiles, jaccard, langid, merkle, ngramllr, packing, pii, quality, sharding, tokens, trie, urls
 from wordmine.session import materialize, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,11 @@ def op9_ngram_ratio_rules(spark, sf):
     return ngramllr.judged(docs, materialize(weights))
 
 
+@query
+def op11_conversation_trie(spark, sf):
+    return trie.prefix_trie(table(spark, sf, "conversations"))
+
+
 @query
 def op12_merkle_manifest(spark, sf):
     return merkle.manifest(table(spark, sf, "documents"))
