@@ -140,6 +140,24 @@ ORACLES: dict[str, str] = {
         CROSS JOIN (SELECT d FROM b WHERE n = 1) r
         JOIN folded ON folded.g = p.g AND folded.pos = p.pos
         LEFT JOIN proofs ON proofs.g = p.g AND proofs.pos = p.pos""",
+    "op13_warc_archives": r"""
+        WITH p AS MATERIALIZED (
+          SELECT page_id, strlen(x) AS payload_bytes, x, sha1(x) AS s,
+            CASE WHEN url IS NULL THEN ''
+              WHEN position('://' IN u) = 0 THEN u
+              ELSE array_to_string(list_reverse(string_split(lower(regexp_extract(u, '://([^/?]*)', 1)), '.')), ',') || ')' ||
+                CASE WHEN regexp_extract(u, '://[^/?]*(.*)', 1) = '' THEN '/' ELSE regexp_extract(u, '://[^/?]*(.*)', 1) END
+              END AS url_key,
+            strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 315360000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+          FROM (SELECT page_id, url, coalesce(html, '') AS x, regexp_replace(url, '#.*', '') AS u FROM pages)),
+        g AS (SELECT x, max(page_id) AS first FROM p GROUP BY x)
+        SELECT page_id, payload_bytes,
+          array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            ((('0x' || substr(s, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+          CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> first THEN first END AS refers_to,
+          url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) AS place
+        FROM p JOIN g USING (x)""",
 }
 
 

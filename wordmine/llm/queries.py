@@ -7,7 +7,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmine.llm import decontaminate, idfiles, jaccard, langid, merkle, ngramllr, packing, pii, quality, sharding, tokens, trie, urls
+from wordmine.llm import (
+    decontaminate,
+    idfiles,
+    jaccard,
+    langid,
+    merkle,
+    ngramllr,
+    packing,
+    pii,
+    quality,
+    sharding,
+    tokens,
+    trie,
+    urls,
+    warc,
+)
 from wordmine.session import materialize, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +122,11 @@ def op11_conversation_trie(spark, sf):
 @query
 def op12_merkle_manifest(spark, sf):
     return merkle.manifest(table(spark, sf, "documents"))
+
+
+@query
+def op13_warc_archives(spark, sf):
+    path = new_folder(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages"), path)
+    index = warc.capture_index(spark, path)
+    return index.drop("part", "offset")
