@@ -7,7 +7,7 @@ from wordmine.plans.discover import (
     discover_v3,
     discover_v31,
 )
-from wordmine.plans.learning import apply_rules, learn_rules
+from wordmine.plans.learning import apply_rules, learn_rules, read_rules, write_rules
 from wordmine.sources import (
     read_corpus,
     read_words,
@@ -25,8 +25,10 @@ __all__ = [
     "discover_v31",
     "learn_rules",
     "read_corpus",
+    "read_rules",
     "read_words",
     "write_ranked",
+    "write_rules",
     "write_stages",
     "write_words",
 ]

@@ -11,6 +11,7 @@ from __future__ import annotations
 from wordmine.queries import (
     COHESION_HIGH,
     COHESION_LOW,
+    GROWN_DEPTH,
     LATIN,
     MAX_LEN,
     MIN_FREEDOM,
@@ -328,9 +329,17 @@ _BAND = (
     f"freedom >= {MIN_FREEDOM} "
     f"AND cohesion BETWEEN {COHESION_LOW} AND {COHESION_HIGH}"
 )
-_IN_ENVELOPE = """
-    freedom BETWEEN freedom_low AND freedom_high
-    AND cohesion BETWEEN cohesion_low AND cohesion_high"""
+
+
+def _in_limits(source: str) -> str:
+    """Within the range of the known words; each limit is a subquery of one value."""
+    known = f"FROM {source} WHERE word IN (SELECT word FROM lex)"
+    return " AND ".join(
+        f"{c} >= (SELECT min({c}) {known}) AND {c} <= (SELECT max({c}) {known})"
+        for c in ("freedom", "cohesion")
+    )
+
+
 _ALL3 = (
     f"freq >= {MIN_FREQ} AND cohesion >= {COHESION_LOW} AND freedom >= {MIN_FREEDOM}"
 )
@@ -406,8 +415,10 @@ _DICE = "(n * freq / s)"
 
 def _extension(stem: str) -> str:
     return f"""
-        SELECT {stem} AS word, word AS extension, freq AS extension_freq
-        FROM grams WHERE length(word) > 2 AND {stem} IN (SELECT word FROM cand)"""
+        SELECT word, extension, extension_freq
+        FROM (SELECT {stem} AS word, word AS extension, freq AS extension_freq
+              FROM grams WHERE length(word) > 2)
+        JOIN (SELECT word FROM cand) USING (word)"""
 
 
 def all_oracles() -> dict[str, str]:
@@ -460,7 +471,26 @@ def all_oracles() -> dict[str, str]:
         "discover_padded_cjk": _on_cjk(
             _with("pfree pcoh", _PADDED_RULE).replace(f"[^{LATIN}]", "[^一-龥]")
         ),
-        "learn_rules": _rules_sql(),
+        "learn_rules": _rules_sql(RULE_DEPTH),
+        "learn_rules_pruned": _rules_sql(
+            GROWN_DEPTH,
+            more=_pruned_sql(GROWN_DEPTH),
+            body=" SELECT word, label, prediction FROM decided",
+        ),
+        "learnt_rules_stored": _rules_sql(
+            GROWN_DEPTH,
+            more=(*_pruned_sql(GROWN_DEPTH), *_stored_rules_sql(GROWN_DEPTH)),
+            body=_STORED_RULES,
+        ),
+        "discover_v3_learnt": _rules_sql(
+            GROWN_DEPTH,
+            "feat measures lex stops",
+            _pruned_sql(GROWN_DEPTH),
+            f"""
+            SELECT {_FEATURES} FROM feat
+            WHERE word IN (SELECT word FROM decided WHERE prediction = 1) AND {_STOPPED}
+              AND word NOT IN (SELECT word FROM lex)""",
+        ),
         "wash_cjk": _on_cjk("""
             SELECT doc_id, regexp_replace(text, '[^一-龥]', '', 'g') AS text
             FROM documents"""),
@@ -574,7 +604,7 @@ def all_oracles() -> dict[str, str]:
         ),
         "rule_all3": _with("feat", _pick(_ALL3)),
         "rule_band": _with("feat", _pick(_BAND)),
-        "rule_envelope": _with("feat env", _pick(_IN_ENVELOPE, "feat, env")),
+        "rule_envelope": _with("feat lex", _pick(_in_limits("feat"))),
         "rule_min_cohesion": _with("feat", _pick(f"cohesion >= {COHESION_LOW}")),
         "rule_strict": _with("feat", _pick("freedom > 1.7 AND cohesion > 23")),
         "rule_vote": _with("feat", _pick(_VOTE)),
@@ -652,7 +682,77 @@ def _on_cjk(sql: str) -> str:
     return f"WITH {own}, {body[5:]}" if body.startswith("WITH ") else f"WITH {own} {body}"
 
 
-def _rules_sql() -> str:
+# The quantile of the normal distribution that leaves a quarter above it.
+_Z_PRUNE = 0.6744897501960817
+
+
+def _expected_sql(pos: str, neg: str) -> str:
+    """Upper end of the Wilson interval for the errors of a leaf."""
+    n, e, z = f"({pos} + {neg})", f"least({pos}, {neg})", _Z_PRUNE
+    root = f"sqrt({e} / {n} / {n} - ({e} / {n}) ** 2 / {n} + {z}::DOUBLE ** 2 / (4 * {n} ** 2))"
+    return f"({n} * ({e} / {n} + {z}::DOUBLE ** 2 / (2 * {n}) + {z} * {root}) / (1 + {z}::DOUBLE ** 2 / {n}))"
+
+
+def _pruned_sql(depth: int) -> list[str]:
+    """Nodes of the grown tree from the bottom up; ``cut`` are leaves in the end."""
+    parts = [
+        f"""kept{depth} AS MATERIALIZED (
+            SELECT node, sum(label) * any_value(w) AS pos, (count(*) - sum(label))::DOUBLE AS neg,
+                   {_expected_sql('(sum(label) * any_value(w))', '(count(*) - sum(label))::DOUBLE')} AS err,
+                   false AS cut
+            FROM rows{depth}, wgt GROUP BY node)"""
+    ]
+    for d in reversed(range(depth)):
+        whole = _expected_sql("pos", "neg")
+        parts.append(
+            f"""kept{d} AS MATERIALIZED (
+            SELECT * FROM kept{d + 1} UNION ALL
+            SELECT node, pos, neg, least(whole, err) AS err, round(whole, 9) <= round(err, 9) AS cut
+            FROM (SELECT *, {whole} AS whole
+                  FROM (SELECT b.node, sum(pos) AS pos, sum(neg) AS neg, sum(err) AS err
+                        FROM best{d} b JOIN kept{d + 1} k ON k.node // 2 = b.node GROUP BY b.node)))"""
+        )
+    # A row ends in the first of its nodes, from the root, that is cut, else in its own.
+    above = " UNION ALL ".join(f"SELECT word, node AS own, node >> {k} AS node FROM rows{depth}" for k in range(depth + 1))
+    return [
+        *parts,
+        f"""final AS MATERIALIZED (
+            SELECT word, coalesce(min(node) FILTER (node IN (SELECT node FROM kept0 WHERE cut)), any_value(own)) AS node
+            FROM ({above}) GROUP BY word)""",
+        """decided AS MATERIALIZED (
+            SELECT word, label::INTEGER AS label,
+                   CASE WHEN pos > neg THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction
+            FROM final JOIN kept0 USING (node) JOIN table0 USING (word))""",
+    ]
+
+
+_STORED_RULES = """
+        SELECT node::BIGINT AS node, name AS feature, value, NULL::DOUBLE AS prediction
+        FROM splits JOIN names USING (feature)
+        WHERE node NOT IN (SELECT n FROM gone)
+        UNION ALL
+        SELECT node, NULL, NULL, CASE WHEN pos > neg THEN 1.0 ELSE 0.0 END
+        FROM kept0 WHERE node NOT IN (SELECT n FROM gone WHERE NOT self)
+          AND (cut OR node NOT IN (SELECT node FROM splits))"""
+
+
+def _stored_rules_sql(depth: int) -> list[str]:
+    cols = "freq freedom cohesion dice mi scp zscore tscore".split()
+    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(cols))
+    splits = " UNION ALL ".join(f"SELECT node, feature, value FROM best{d}" for d in range(depth))
+    return [
+        f"names(feature, name) AS (VALUES {names})",
+        f"splits AS MATERIALIZED ({splits})",
+        # What is at or below a cut node.
+        f"""gone AS MATERIALIZED (
+            SELECT k.node AS n, bool_and(k.node = c.node) AS self
+            FROM kept0 k JOIN (SELECT node FROM kept0 WHERE cut) c
+              ON c.node IN ({', '.join(f'k.node >> {j}' for j in range(depth + 1))})
+            GROUP BY k.node)""",
+    ]
+
+
+def _rules_sql(depth: int, needs: str = "feat measures lex", more: tuple = (), body: str | None = None) -> str:
     """The tree, one group of tables per level; a node without a gain stays."""
     cols = "freq freedom cohesion dice mi scp zscore tscore".split()
     h = lambda a, n: f"(CASE WHEN {a} > 0 THEN -({a}) / ({n}) * ln(({a}) / ({n})) ELSE 0 END)"
@@ -671,7 +771,7 @@ def _rules_sql() -> str:
                         ELSE 1.0 END AS w FROM table0)""",
         "rows0 AS MATERIALIZED (SELECT *, 1 AS node FROM table0)",
     ]
-    for d in range(RULE_DEPTH):
+    for d in range(depth):
         long = " UNION ALL ".join(
             f"SELECT node, label, {i} AS feature, {c} AS value FROM rows{d} WHERE {c} IS NOT NULL"
             for i, c in enumerate(cols)
@@ -712,21 +812,15 @@ def _rules_sql() -> str:
                                      ELSE 2 * r.node + 1 END AS node)
             FROM rows{d} r LEFT JOIN best{d} b ON b.node = r.node)"""
         )
-    body = f"""
+    body = body or f"""
         SELECT word, label::INTEGER AS label,
                CASE WHEN sum(label) OVER n * w > count(*) OVER n - sum(label) OVER n
                     THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction
-        FROM rows{RULE_DEPTH}, wgt WINDOW n AS (PARTITION BY node)"""
-    return _with("feat measures lex", "") + ", " + ",\n".join(parts) + body
+        FROM rows{depth}, wgt WINDOW n AS (PARTITION BY node)"""
+    return _with(needs, "") + ", " + ",\n".join([*parts, *more]) + body
 
 
 def _envelope_job(more: str) -> str:
-    limits = """
-        SELECT min(freedom) AS f0, max(freedom) AS f1,
-               min(cohesion) AS c0, max(cohesion) AS c1
-        FROM feat WHERE word IN (SELECT word FROM lex)
-                    AND word NOT IN (SELECT word FROM stops)"""
     return f"""
-        SELECT {_FEATURES} FROM feat, ({limits})
-        WHERE {_STOPPED} AND freedom BETWEEN f0 AND f1
-          AND cohesion BETWEEN c0 AND c1 {more}"""
+        SELECT {_FEATURES} FROM feat
+        WHERE {_STOPPED} AND {_in_limits(f"(SELECT * FROM feat WHERE {_STOPPED})")} {more}"""

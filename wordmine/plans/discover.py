@@ -24,6 +24,7 @@ from wordmine.operators.cohesion import cohesion
 from wordmine.operators.freedom import word_statistics
 from wordmine.operators.lexicon import lexicon_envelope, new_words
 from wordmine.operators.ngrams import corpus_ngrams, length_from_grams, padded_ngrams
+from wordmine.plans.learning import Rules, rule_features, select_learnt
 from wordmine.session import materialize
 from wordmine.sources.sinks import write_stages
 
@@ -121,12 +122,15 @@ def discover_v3(
     exclude_lexicon: bool = True,
     stages_dir: str | None = None,
     unified: bool = False,
+    learnt: Rules | None = None,
 ) -> DataFrame:
     """Limits learnt from the known words found in the corpus.
 
     ``exclude_lexicon`` leaves the known words out of the result.  With
     ``stages_dir`` the left, right and joined freedom and all features are
-    written there, too.
+    written there, too.  Given ``learnt`` rules (of ``learn_rules`` or
+    ``read_rules``, on the features of ``rule_features``) these decide instead
+    of the range of the known words.
     """
     frequent = frequent_words(df, max_len, min_freq, unified=unified)
     candidates = filters.candidates_v3(frequent, stopwords, max_len, min_freq)
@@ -140,7 +144,11 @@ def discover_v3(
             "features": table,
         }
         write_stages(stages, stages_dir)
-    found = rules.select_envelope(table, lexicon_envelope(table, lexicon))
+    if learnt is None:
+        found = rules.select_envelope(table, lexicon_envelope(table, lexicon))
+    else:
+        measured = rule_features(table, frequent, total_of(frequent), learnt.cols)
+        found = select_learnt(table, measured, learnt)
     return new_words(found, lexicon) if exclude_lexicon else found
 
 

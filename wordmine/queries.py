@@ -18,7 +18,15 @@ from wordmine.operators import association as assoc
 from wordmine.operators import cohesion as coh
 from wordmine.operators import freedom as fr
 from wordmine.plans import discover as plans
-from wordmine.plans.learning import FEATURES, apply_rules, learn_rules
+from wordmine.plans.learning import (
+    FEATURES,
+    apply_rules,
+    learn_rules,
+    read_rules,
+    rule_features,
+    rules_table,
+    write_rules,
+)
 from wordmine.session import materialize, new_folder, running_sums
 from wordmine.sources import read_corpus, read_words, sinks
 from wordmine.sources.corpus import java_charsets
@@ -30,6 +38,7 @@ MIN_FREQ = 24
 MIN_FREEDOM = 1.0
 STOPWORD_FREQ = 24
 RULE_DEPTH = 3
+GROWN_DEPTH, CONFIDENCE = 5, 0.25
 COHESION_LOW, COHESION_HIGH = 20.0, 500.0
 
 PADDED_LEN = 6
@@ -666,24 +675,59 @@ def discover_padded(spark, sf):
     return rounded(found)
 
 
-@query
-def learned_rules(spark, sf):
-    """Candidates, their label (known word or not) and the learnt decision."""
+def _labelled(spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Features of the candidates, and which of them are known words."""
     found = frequent(spark, sf)
     table = plans.features(filters.positive_freedom(candidates(found)), found, MAX_LEN)
-    table = assoc.association(table, found, plans.total_of(found)).select("word", *FEATURES)
-    # Rounded like everything shown, and the powers in scp as their logarithm.
-    table = table.withColumn("scp", F.ln("scp"))
-    table = materialize(rounded(table, exact=()))
+    table = materialize(rule_features(table, found, plans.total_of(found)))
     known = lexicon_words(spark, sf).withColumn("label", F.lit(1))
-    labels = (
-        table.select("word")
-        .join(known, "word", "left")
-        .select("word", F.coalesce("label", F.lit(0)).alias("label"))
+    labels = table.select("word").join(known, "word", "left")
+    return table, labels.select("word", F.coalesce("label", F.lit(0)).alias("label"))
+
+
+def _decided(rules, table: DataFrame, labels: DataFrame) -> DataFrame:
+    return apply_rules(rules, table).join(labels, "word").select("word", "label", "prediction")
+
+
+def _pruned_rules(table: DataFrame, labels: DataFrame):
+    return learn_rules(table, labels, FEATURES, GROWN_DEPTH, balance=True, prune=CONFIDENCE)
+
+
+def _stored(spark, rules):
+    path = new_folder(spark, "rules")
+    write_rules(spark, rules, path)
+    return read_rules(spark, path)
+
+
+@query
+def learned_rules(spark, sf):
+    """Candidates, their label (known word or not) and the learnt decision."""
+    table, labels = _labelled(spark, sf)
+    return _decided(learn_rules(table, labels, FEATURES, RULE_DEPTH, balance=True), table, labels)
+
+
+@query
+def learn_rules_pruned(spark, sf):
+    """The same from a deeper tree, pruned."""
+    table, labels = _labelled(spark, sf)
+    return _decided(_pruned_rules(table, labels), table, labels)
+
+
+@query
+def learnt_rules_stored(spark, sf):
+    """The nodes of that tree, stored and read again."""
+    rules = _stored(spark, _pruned_rules(*_labelled(spark, sf)))
+    return rules_table(spark, rules).drop("cols")
+
+
+@query
+def discover_v3_learnt(spark, sf):
+    """New words by rules that were learnt, stored and read again."""
+    rules = _stored(spark, _pruned_rules(*_labelled(spark, sf)))
+    found = plans.discover_v3(
+        documents(spark, sf), stopwords(spark, sf), lexicon_words(spark, sf), learnt=rules
     )
-    rules = learn_rules(table, labels, FEATURES, RULE_DEPTH, balance=True)
-    decided = apply_rules(rules, table)
-    return decided.join(labels, "word").select("word", "label", "prediction")
+    return rounded(found)
 
 
 # The two operators whose query name is also the name of a module above.
