@@ -132,3 +132,13 @@ def test_odd_tables(spark):
     assert out.columns == docs.columns
     assert sorted(r["text"] or "" for r in out.collect()) == ["", "", "<email>", "<ip>", "x" * 90_000 + " <ip>"]
     assert pii.find(docs.limit(0), pii.fit(docs.limit(0))).count() == 0
+
+
+def test_numbers_with_thousands_of_digits(spark):
+    texts = ["0" * 5000 + "1.1.1.1", "9" * 5000 + ".1.1.1", "1.2.3." + "0" * 4999 + "4", "1" * 20_000, "x 10.0.0.1"]
+    found = [[s for s in pii.base_spans(t) if s[0] == 1] for t in texts]
+    assert found == [[(1, 0, 5007)], [], [(1, 0, 5006)], [], [(1, 2, 10)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["n_ip"] for r in pii.find(docs, pii.fit(docs)).collect()}
+    assert rows == {0: 1, 1: 0, 2: 1, 3: 0, 4: 1}
+    assert "0000" not in pii.mask(docs, pii.fit(docs)).where("doc_id = 0").first()["text"]
