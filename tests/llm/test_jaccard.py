@@ -116,3 +116,24 @@ def test_query_against_brute_force(spark):
     rows = all_queries()["op6_ngram_jaccard_join"](spark, SMALL).collect()
     found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows), key=str)
     assert found == brute([(r["doc_id"], r["text"]) for r in docs])
+
+
+def test_one_row_of_each_group(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    near = a.replace("a0 ", "x ")
+    schema = "doc_id long, text string, rows int, first string"
+
+    def kept(*rows):
+        df = spark.createDataFrame([(*r, 1, "z") if len(r) == 2 else r for r in rows], schema).repartition(3)
+        out = jaccard.keep_one_of_each(df)
+        assert out.columns == df.columns
+        return sorted(((r["doc_id"], r["text"], r["rows"]) for r in out.collect()), key=str)
+
+    # A distinct text stays though its id also stands for a copy; a repeated row stays once.
+    assert kept((5, a), (5, a), (9, b), (9, a)) == [(5, a, 1), (9, b, 1)]
+    assert kept((5, a), (5, b), (7, near)) == [(5, a, 1), (5, b, 1)]
+    assert kept((5, a, 2, "z"), (5, a, 1, "z"), (5, a, 3, None)) == [(5, a, 1)]
+    # Without an id: copies of a document, and copies of each other.
+    assert kept((None, a), (8, a), (None, b), (None, b)) == [(8, a, 1), (None, b, 1)]
+    # Nothing links to texts without words.
+    assert kept((1, None), (1, None), (2, ""), (3, " ")) == [(1, None, 1), (1, None, 1), (2, "", 1), (3, " ", 1)]

@@ -110,14 +110,14 @@ def _slices(batches: Iterator[pa.RecordBatch]):
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of texts (doc_id, sig, n), then rows of frequent shingles (hash, texts)."""
-    names = ["doc_id", "sig", "n", "hot"]
+    """Rows of texts (doc_id, text_hash, sig, n), then rows of frequent shingles (hash, texts)."""
+    names = ["doc_id", "text_hash", "sig", "n", "hot"]
     held, texts = {}, 0
     for part, shingles, offsets in _slices(batches):
         sig = _signatures(shingles, offsets)
         n = np.diff(offsets)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(sig), pa.array(n), pa.nulls(len(n), pa.int64())],
+            [*(part.column(c) for c in names[:2]), pa.array(sig), pa.array(n), pa.nulls(len(n), pa.int64())],
             names=names,
         )
         distinct = np.unique(sig, return_index=True)[1]
@@ -132,9 +132,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     if hot:
         yield pa.RecordBatch.from_arrays(
             [
-                pa.nulls(len(hot), pa.int64()),
-                pa.nulls(len(hot), pa.int64()),
-                pa.nulls(len(hot), pa.int64()),
+                *[pa.nulls(len(hot), pa.int64())] * 4,
                 pa.array(np.array(hot, np.uint64).view(np.int64)),
             ],
             names=names,
@@ -417,15 +415,23 @@ def _by_documents(links: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_join(docs: DataFrame, block: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``texts, sets, links`` of ``docs`` (``doc_id, text``).
 
-    ``texts``: ``doc_id, sig, n``, one row per row of ``docs``.  ``sets``: ``sig,
-    rep, copies``, one per different set, with its smallest doc_id.  ``links``: ``a, b``,
-    pairs of representatives that link; pairs within a group that is connected
-    by others may be missing.  Null and wordless texts have the signature 0 and
-    no row in ``sets``; so have rows without a doc_id.
+    ``texts``: ``doc_id, text_hash, sig, n``, one row per row of ``docs``.  ``sets``:
+    ``sig, rep, copies``, one per different set, with its smallest doc_id.  ``links``:
+    ``a, b``, pairs of representatives that link; pairs within a group that is
+    connected by others may be missing.  Null and wordless texts have the signature 0
+    and no row in ``sets``; so have rows without a doc_id.
     """
+    texts, sets, links = _linked_sets(docs, block)
+    return texts, sets, _by_documents(links, sets)
+
+
+def _linked_sets(docs: DataFrame, block: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same with links between signatures."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = materialize(docs.mapInArrow(_signature_rows, "doc_id long, sig long, n long, hot long"))
-    texts = rows.where("hot is null").select("doc_id", "sig", "n")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    kinds = "doc_id long, text_hash long, sig long, n long, hot long"
+    rows = materialize(hashed.mapInArrow(_signature_rows, kinds))
+    texts = rows.where("hot is null").select("doc_id", "text_hash", "sig", "n")
     known = texts.where("sig <> 0 and doc_id is not null")
     sets = known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     sets = materialize(sets)
@@ -477,12 +483,12 @@ def jaccard_join(docs: DataFrame, block: int = 512) -> tuple[DataFrame, DataFram
     ).agg(F.max("n").alias("na"), F.max("x.n").alias("nb"), F.count("*").alias("c"))
     tried = short.unionByName(near).where(_reached()).select("a", "b").distinct()
     tried = materialize(tried)
-    links = materialize(_by_documents(_probe(docs, sets, tried), sets))
+    links = materialize(_probe(docs, sets, tried))
     if long_lists.isEmpty():
         return texts, sets, links
 
-    joined = sets.join(components(links), F.col("rep") == F.col("node"), "left")
-    joined = joined.select("sig", F.coalesce("component", "rep").alias("comp"))
+    joined = sets.join(components(links), F.col("sig") == F.col("node"), "left")
+    joined = joined.select("sig", F.coalesce("component", "sig").alias("comp"))
     named = long_lists.join(joined, "sig")
     mixed = named.groupBy("shingle").agg(
         F.min("comp").alias("x"),
@@ -499,10 +505,18 @@ def jaccard_join(docs: DataFrame, block: int = 512) -> tuple[DataFrame, DataFram
     apart = apart.withColumn("c", F.col("c") + F.coalesce("more", F.lit(0)))
     apart = apart.where(_reached()).select("a", "b").join(tried, ["a", "b"], "left_anti")
     apart = materialize(apart)
-    more = materialize(_by_documents(_probe(docs, sets, apart), sets))
+    more = materialize(_probe(docs, sets, apart))
     return texts, sets, links.unionAll(more)
 
 
+def _labels(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``s, comp, component_id``: a signature's component, and the smallest doc_id in it."""
+    joined = sets.join(components(links), F.col("sig") == F.col("node"), "left")
+    joined = joined.select("sig", "rep", F.coalesce("component", "sig").alias("comp"))
+    least = joined.groupBy(F.col("comp").alias("c")).agg(F.min("rep").alias("component_id"))
+    return joined.join(least, F.col("comp") == F.col("c")).select(F.col("sig").alias("s"), "comp", "component_id")
+
+
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
@@ -510,11 +524,8 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     wordless text has 0 shingles and is alone; so is a row without doc_id, whose
     component is null.  Equal texts, and repeated rows, are in one component.
     """
-    texts, sets, links = jaccard_join(docs)
-    found = components(links)
-    labels = sets.join(found, F.col("rep") == F.col("node"), "left").select(
-        F.col("sig").alias("s"), F.coalesce("component", "rep").alias("component_id")
-    )
+    texts, sets, links = _linked_sets(docs)
+    labels = _labels(sets, links)
     alone = (F.col("sig") == 0) | F.col("doc_id").isNull()
     single = texts.where(alone).select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
@@ -524,9 +535,33 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those that have a smaller one in their group."""
-    groups = materialize(near_duplicate_groups(docs))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row, all columns, of every group of near copies: that with the smallest doc_id.
+
+    Rows are told by doc_id and text.  Of rows that are equal in both, the one whose
+    other columns are smallest stays.  Rows without a doc_id belong to the group of
+    documents with the same set of shingles, if there is one, else to one of their
+    own.  Null and wordless texts stay.
+    """
+    texts, sets, links = _linked_sets(docs)
+    keys = texts.where("sig <> 0").groupBy("doc_id", "text_hash", "sig").agg(F.count("*").alias("rows"))
+    keys = keys.join(_labels(sets, links), F.col("sig") == F.col("s"), "left")
+    # Where no document has the set, the set itself is the group.
+    keys = materialize(keys.select("doc_id", "text_hash", "rows", F.coalesce("comp", "sig").alias("g")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    judged = keys.join(keys.groupBy("g").agg(F.min(order).alias("first")), "g")
+    stays = order.eqNullSafe(F.col("first"))
+    marked = judged.select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "rows", stays.alias("_stays")
+    )
+    marked = materialize(marked.where("not _stays or rows > 1").drop("rows"))
+    repeated = marked.where("_stays").count()
+    few = marked if marked.count() > BROADCAST_IDS else F.broadcast(marked)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (
+        F.xxhash64(docs["text"].cast("string")) == F.col("_hash")
+    )
+    joined = docs.join(few, same, "left")
+    kept = joined.where("_stays is null").select(*docs.columns)
+    if not repeated:
+        return kept
+    again = joined.where("_stays").groupBy("_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return kept.unionAll(again.select(*[F.col(f"row.{c}") for c in docs.columns]))
