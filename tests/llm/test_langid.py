@@ -89,3 +89,43 @@ def test_stage_keeps_clean_documents(spark):
     kept = langid.keep_identified(docs.unionAll(more))
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_trigrams():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("aB é1 .", k=rng.randrange(9))) for _ in range(400)] + [None, "", "x"]
+    for k in range(0, len(texts), 5):
+        ids, first = langid.trigrams(pa.array(texts[k : k + 5], pa.string()))
+        for i, text in enumerate(texts[k : k + 5]):
+            raw = bytes(langid.LOWER.tolist()[b] if langid._LETTER[b] else 32 for b in (text or "").encode())
+            raw = b" " + raw + b" "
+            want = [int.from_bytes(raw[j - 1 : j + 2], "big") for j in range(1, len(raw) - 1) if raw[j] != 32]
+            assert ids[first[i] : first[i + 1]].tolist() == want
+
+
+FOREIGN = {
+    "ru": "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+    "zh": "幸福的家庭都是相似的，不幸的家庭各有各的不幸。",
+    "pl": "Wszystkie szczęśliwe rodziny są do siebie podobne, każda nieszczęśliwa jest nieszczęśliwa na swój sposób.",
+    "el": "Όλες οι ευτυχισμένες οικογένειες μοιάζουν μεταξύ τους",
+}
+
+
+def test_stage_rejects_unlearned_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    more = spark.createDataFrame(
+        [(-k, text, lang, "s", 1) for k, (lang, text) in enumerate(FOREIGN.items(), 1)], docs.schema
+    )
+    known = langid.known_trigrams(docs)
+    assert known.foreign(pa.array(list(FOREIGN.values()))).all()
+    texts = docs.select("text", "lang").toPandas()
+    assert not known.foreign(pa.array(texts["text"])).any()
+    for lang in ("fr", "de", "es"):
+        without = langid.known_trigrams(docs.where(f"lang <> '{lang}'"))
+        foreign = without.foreign(pa.array(texts["text"]))
+        own = (texts["lang"] == lang).to_numpy()
+        assert foreign[own].mean() > 0.9 and foreign[~own].mean() < 0.02
+    # The stage: labelled or not, nobody learned of these few texts.
+    unlabelled = more.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
+    kept = {r["doc_id"] for r in langid.keep_identified(docs.unionAll(unlabelled)).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}

@@ -238,18 +238,23 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
 
+def sampled(docs: DataFrame, texts: int) -> DataFrame:
+    """``doc_id, text, lang`` of about ``texts`` texts of each language, none held out."""
+    labelled = docs.where(F.col("lang").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
+    labelled = labelled.select("doc_id", F.col("text").cast("string"), "lang")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
+    return labelled.join(F.broadcast(sizes), "lang").where(
+        F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) * F.col("size") < texts * (1 << 30)
+    )
+
+
 def training_runs(docs: DataFrame, texts: int = SAMPLE_TEXTS, most: int = SAMPLE_RUNS) -> DataFrame:
     """``lang, run, n``: runs of letters of a bounded sample of labelled texts.
 
     About ``texts`` whole texts of each language, drawn by a hash of doc_id from
     those that are not held out, and of their runs the ``most`` frequent.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    labelled = labelled.select("doc_id", F.col("text").cast("string"), "lang")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
-    drawn = labelled.join(F.broadcast(sizes), "lang").where(
-        F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) * F.col("size") < texts * (1 << 30)
-    )
+    drawn = sampled(docs, texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,6 +279,74 @@ def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, most: int = SAMPLE_RUNS) ->
     return train([(r.lang, bytes(r.run), int(r.n)) for r in rows.itertuples()])
 
 
+# Languages that nothing was learned of
+
+#: A text is foreign if its unseen trigrams, less so many for one odd word, are more
+#: than FACTOR times the share under which QUANTILE of known texts stay, by Z deviations.
+ODD, FACTOR, QUANTILE, Z = 3, 1.5, 0.995, 3.0
+
+
+def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For every letter its byte between its neighbours, as 24 bits; the number before each text.
+
+    Whatever is no letter, and the end of a text, counts as a space.
+    """
+    data, offsets = text_bytes(texts)
+    body = np.where(_LETTER[data], LOWER[data], _SPACE).astype(np.int32)
+    before, after = np.full_like(body, _SPACE), np.full_like(body, _SPACE)
+    before[1:], after[:-1] = body[:-1], body[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(body))]
+    before[inner], after[inner - 1] = _SPACE, _SPACE
+    at = np.flatnonzero(_LETTER[data])
+    return before[at] << 16 | body[at] << 8 | after[at], np.searchsorted(at, offsets)
+
+
+@dataclass
+class Known:
+    """One bit for every trigram of the learned languages, and the share of others that is too much."""
+
+    bits: np.ndarray
+    limit: float
+
+    def foreign(self, texts: pa.Array) -> np.ndarray:
+        """Whether each text is in a language that nothing was learned of."""
+        ids, first = trigrams(texts)
+        unseen = (self.bits[ids >> 3] >> (7 - (ids & 7)) & 1) == 0
+        total = np.concatenate(([0], np.cumsum(unseen)))[first]
+        n = np.maximum(np.diff(first), 1)
+        f, zz = np.maximum(np.diff(total) - ODD, 0) / n, Z * Z
+        low = (f + zz / (2 * n) - Z * np.sqrt(f * (1 - f) / n + zz / (4 * n * n))) / (1 + zz / n)
+        return low > self.limit
+
+
+def known_trigrams(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Known:
+    """Learned from the sampled texts; the limit from half of them, judged by the other half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in runs(batch.column("text")):
+                part = batch.slice(start, stop - start)
+                ids, first = trigrams(part.column("text"))
+                own = [np.unique(ids[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
+                columns = [part.column("even"), *[pa.array([x[k] for x in own], pa.list_(pa.int32())) for k in (0, 1)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["even", "ids", "times"])
+
+    even = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)) == 0
+    drawn = sampled(docs, texts).select("text", even.alias("even"))
+    rows = drawn.mapInArrow(run, "even boolean, ids array<int>, times array<int>").toArrow().to_pylist()
+    seen = np.zeros((2, 1 << 24), bool)
+    for r in rows:
+        seen[int(r["even"]), r["ids"]] = True
+    shares = []
+    for r in rows:
+        times = np.array(r["times"], np.int64)
+        unseen = times[~seen[0][r["ids"]]].sum() if r["even"] else 0
+        if r["even"]:
+            shares.append(max(0, unseen - ODD) / max(1, times.sum()))
+    limit = FACTOR * float(np.quantile(shares, QUANTILE)) if shares and seen[0].any() else 1.0
+    return Known(np.packbits(seen.any(0)), limit)
+
+
 class Reader:
     """A network and a bounded memory of what it said of runs."""
 
@@ -321,11 +394,12 @@ def _reader(net: Network) -> Reader:
     return _READERS[key]
 
 
-def identify(docs: DataFrame, net: Network) -> DataFrame:
+def identify(docs: DataFrame, net: Network, heard: Known | None = None) -> DataFrame:
     """All columns of ``docs``, and ``lang_pred``, ``score``.
 
     A text that is null or has no letter gets ``und`` and 0; so does every text
-    where nothing could be learned.  Ties go to the first language by name.
+    where nothing could be learned, and every one that is foreign to what was
+    ``heard``.  Ties go to the first language by name.
     """
     names = list(docs.columns)
     text = names.index("text")
@@ -337,6 +411,10 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
             for start, stop in runs(batch.column(text)):
                 part = batch.slice(start, stop - start)
                 lang, score = _judge(reader, part.column(text), known)
+                if heard is not None:
+                    foreign = heard.foreign(part.column(text))
+                    score = np.where(foreign, 0.0, score)
+                    lang = [UNKNOWN if f else x for f, x in zip(foreign, lang, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                     names=[*names, "lang_pred", "score"],
@@ -372,14 +450,14 @@ def predictions(docs: DataFrame, net: Network) -> DataFrame:
     )
 
 
-#: Mean probability under which a text counts as in no known language.
-LEAST_SCORE = 0.3
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, whose language is recognised.
 
-
-def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents, all columns, whose language is recognised."""
+    Those without letters go, and those in a language that nothing was learned of:
+    the network must choose one that it knows, so the trigrams tell.
+    """
     names = list(docs.columns)
-    own = [f"_{i}" if n != "text" else "text" for i, n in enumerate(names)]
-    judged = identify(docs.toDF(*own), fit(docs))
-    judged = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    own = [f"_{i}" if n not in ("doc_id", "text", "lang") else n for i, n in enumerate(names)]
+    renamed = docs.toDF(*own)
+    judged = identify(renamed, fit(renamed), known_trigrams(renamed)).where(F.col("lang_pred") != UNKNOWN)
     return judged.select(*[F.col(a).alias(b) for a, b in zip(own, names, strict=True)])
