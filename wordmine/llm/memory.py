@@ -6,6 +6,11 @@ work in a worker first lets go of what the others remembered there.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
+
 _MEMORIES: list[dict] = []
 
 
@@ -17,7 +22,19 @@ def memory() -> dict:
 
 
 def only(kept: dict | None = None) -> None:
-    """Empty all memories but ``kept``."""
-    for m in _MEMORIES:
-        if m is not kept:
-            m.clear()
+    """Empty all memories but ``kept``; what they held goes back to the system."""
+    others = [m for m in _MEMORIES if m is not kept and m]
+    for m in others:
+        m.clear()
+    if others:
+        release()
+
+
+def release() -> None:
+    """Hand free memory of Python, Arrow and the allocator back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another allocator
+        pass
