@@ -269,7 +269,9 @@ def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     ``folded_root`` what its leaf leads to after the tampering.  A task appends
     blocks of ``8 ** levels`` nodes.  Tables are stored at once.
     """
-    below = layers(placed(leaves(docs), ["g"], ["doc_id", "node"]), levels)
+    # Stored, since dealing rows to ranges reads them twice.
+    hashed = materialize(leaves(docs))
+    below = layers(placed(hashed, ["g"], ["doc_id", "node"]), levels)
     none, root = F.lit(None), F.col("root")
     names = below[-1].select(F.lit("").alias("g"), F.col("g").alias("name"), root.alias("node"))
     names = names.withColumns({"doc_id": none.cast("long"), "other": none.cast("binary")})
