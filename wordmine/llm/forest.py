@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from wordmine.session import materialize
 
 #: Nodes of a part, at most.
-BOUND = 4096
+BOUND = 512
 #: Rounds of pointer jumping: enough for paths of 2 ** 40 nodes.
 MOST_ROUNDS = 40
 
