@@ -124,7 +124,7 @@ def test_stage_rejects_unlearned_languages(spark):
         without = langid.known_trigrams(docs.where(f"lang <> '{lang}'"))
         foreign = without.foreign(pa.array(texts["text"]))
         own = (texts["lang"] == lang).to_numpy()
-        assert foreign[own].mean() > 0.9 and foreign[~own].mean() < 0.02
+        assert foreign[own].mean() > 0.85 and foreign[~own].mean() < 0.02
     # The stage: labelled or not, nobody learned of these few texts.
     unlabelled = more.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
     kept = {r["doc_id"] for r in langid.keep_identified(docs.unionAll(unlabelled)).select("doc_id").collect()}

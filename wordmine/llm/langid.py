@@ -281,9 +281,10 @@ def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, most: int = SAMPLE_RUNS) ->
 
 # Languages that nothing was learned of
 
-#: A text is foreign if its unseen trigrams, less so many for one odd word, are more
-#: than FACTOR times the share under which QUANTILE of known texts stay, by Z deviations.
-ODD, FACTOR, QUANTILE, Z = 3, 1.5, 0.995, 3.0
+#: Of a text's different trigrams, as many unseen ones as it has seen ones, ODD at most,
+#: may belong to a name or a key.  It is foreign if the others are, by Z deviations, more
+#: than FACTOR times the share under which QUANTILE of known texts stay, and than LEAST.
+ODD, FACTOR, QUANTILE, LEAST, Z = 24, 1.5, 0.995, 0.03, 3.0
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -310,15 +311,28 @@ class Known:
 
     def foreign(self, texts: pa.Array) -> np.ndarray:
         """Whether each text is in a language that nothing was learned of."""
-        ids, first = trigrams(texts)
-        unseen = (self.bits[ids >> 3] >> (7 - (ids & 7)) & 1) == 0
-        total = np.concatenate(([0], np.cumsum(unseen)))[first]
-        n = np.maximum(np.diff(first), 1)
-        f, zz = np.maximum(np.diff(total) - ODD, 0) / n, Z * Z
+        ids, owner = different(texts)
+        seen = self.bits[ids >> 3] >> (7 - (ids & 7)) & 1
+        f, n = excess(np.bincount(owner, seen, len(texts)), np.bincount(owner, minlength=len(texts)))
+        zz = Z * Z
         low = (f + zz / (2 * n) - Z * np.sqrt(f * (1 - f) / n + zz / (4 * n * n))) / (1 + zz / n)
         return low > self.limit
 
 
+def different(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The different trigrams of every text, and the number of the text of each."""
+    ids, first = trigrams(texts)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    both = np.unique(owner.astype(np.int64) << 24 | ids)
+    return both & 0xFFFFFF, both >> 24
+
+
+def excess(seen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The share of unseen trigrams beyond what is allowed for, and their number, one at least."""
+    n = np.maximum(n, 1)
+    return np.maximum(n - seen - np.minimum(ODD, seen), 0) / n, n
+
+
 def known_trigrams(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Known:
     """Learned from the sampled texts; the limit from half of them, judged by the other half."""
 
@@ -326,25 +340,23 @@ def known_trigrams(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Known:
         for batch in batches:
             for start, stop in runs(batch.column("text")):
                 part = batch.slice(start, stop - start)
-                ids, first = trigrams(part.column("text"))
-                own = [np.unique(ids[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
-                columns = [part.column("even"), *[pa.array([x[k] for x in own], pa.list_(pa.int32())) for k in (0, 1)]]
-                yield pa.RecordBatch.from_arrays(columns, names=["even", "ids", "times"])
+                ids, owner = different(part.column("text"))
+                ends = np.searchsorted(owner, np.arange(len(part) + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("even"), lists], names=["even", "ids"])
 
     even = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)) == 0
     drawn = sampled(docs, texts).select("text", even.alias("even"))
-    rows = drawn.mapInArrow(run, "even boolean, ids array<int>, times array<int>").toArrow().to_pylist()
-    seen = np.zeros((2, 1 << 24), bool)
-    for r in rows:
-        seen[int(r["even"]), r["ids"]] = True
-    shares = []
+    rows = drawn.mapInArrow(run, "even boolean, ids array<int>").toArrow().to_pylist()
+    known = np.zeros((2, 1 << 24), bool)
     for r in rows:
-        times = np.array(r["times"], np.int64)
-        unseen = times[~seen[0][r["ids"]]].sum() if r["even"] else 0
-        if r["even"]:
-            shares.append(max(0, unseen - ODD) / max(1, times.sum()))
-    limit = FACTOR * float(np.quantile(shares, QUANTILE)) if shares and seen[0].any() else 1.0
-    return Known(np.packbits(seen.any(0)), limit)
+        known[int(r["even"]), r["ids"]] = True
+    judged = [r["ids"] for r in rows if r["even"]]
+    sizes, seen = np.array([[len(x), known[0][x].sum()] for x in judged]).reshape(-1, 2).T
+    limit = 1.0  # nothing is foreign to those who know nothing
+    if len(judged) and known[0].any():
+        limit = max(LEAST, FACTOR * float(np.quantile(excess(seen, sizes)[0], QUANTILE)))
+    return Known(np.packbits(known.any(0)), limit)
 
 
 class Reader:
