@@ -123,10 +123,10 @@ def _blocks(ids_by_rank: np.ndarray, dtype: str, block_ids: int):
         block, first, held, size = 0, 0, [], 0
 
         def row():
-            lengths = np.array([len(x) for _, x in held], np.int64)
-            ids = np.concatenate([x for _, x in held])
+            lengths = np.concatenate([x for _, _, x in held]).astype(np.int64)
+            ids = np.concatenate([x for _, x, _ in held])
             control, data = encode(ranks[ids], lengths)
-            values = [[part], [block], [first], [len(ids)], [[d for d, _ in held]]]
+            values = [[part], [block], [first], [len(ids)], [[d for x, _, _ in held for d in x]]]
             values += [[lengths.tolist()], [control], [data]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             kinds += [pa.list_(pa.int64())] * 2 + [pa.binary()] * 2
@@ -135,10 +135,17 @@ def _blocks(ids_by_rank: np.ndarray, dtype: str, block_ids: int):
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
-            for doc, value in zip(batch.column("doc_id"), batch.column("ids"), strict=True):
-                ids = np.frombuffer(value.as_buffer(), dtype).copy()
-                held.append((doc.as_py(), ids))
-                size += len(ids)
+            docs = batch.column("doc_id").to_pylist()
+            data, bounds = text_bytes(batch.column("ids"))
+            values = np.frombuffer(data, dtype).copy()
+            # A slice of the batch up to every row that completes a block.
+            ends, start = bounds[1:] // values.itemsize, 0
+            while start < len(docs):
+                done = ends[start - 1] if start else 0
+                stop = min(len(docs), int(np.searchsorted(ends, done + block_ids - size)) + 1)
+                held.append((docs[start:stop], values[done : ends[stop - 1]], np.diff(ends[start:stop], prepend=done)))
+                size += int(ends[stop - 1] - done)
+                start = stop
                 if size >= block_ids:
                     yield row()
                     block, first, held, size = block + 1, first + size, [], 0

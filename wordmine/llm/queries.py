@@ -62,7 +62,8 @@ def op3_best_fit_packing(spark, sf):
 @query
 def op10_token_id_files(spark, sf):
     path = vocabulary("byte_bpe_50k.json")
-    ids = materialize(tokens.token_ids(table(spark, sf, "documents"), path, added=True), compression="zstd")
+    ids = tokens.token_ids(table(spark, sf, "documents"), path, added=True, remember=160 << 20)
+    ids = materialize(ids, compression="zstd")
     out = new_folder(spark, "ids")
     idfiles.write_ids(ids, out, tokens.id_type(path).str)
     return idfiles.read_ids(spark, out, digest=True)

@@ -31,6 +31,8 @@ from wordmine.llm.textbytes import IS_SPACE, runs, text_bytes
 
 #: Appended to every document.
 END_ID = 0
+#: Bytes of pieces that a worker remembers.  The rarer pieces are, the more it pays.
+REMEMBER = 48 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("A") : ord("Z") + 1] = True
@@ -88,7 +90,7 @@ class PieceEncoder:
     #: Bytes of a remembered piece beside its own and its ids': object, number, tables.
     EACH = 160
 
-    def __init__(self, path: str, remember: int = 48 << 20, added: bool = False):
+    def __init__(self, path: str, remember: int = REMEMBER, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -224,28 +226,29 @@ class PieceEncoder:
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = memory()
 
 
-def encoder(path: str, added: bool = False) -> PieceEncoder:
+def encoder(path: str, added: bool = False, remember: int = REMEMBER) -> PieceEncoder:
     """One per Python worker and vocabulary, so that what it remembers lasts."""
     only(_ENCODERS)
-    if (path, added) not in _ENCODERS:
-        _ENCODERS[path, added] = PieceEncoder(path, added=added)
-    return _ENCODERS[path, added]
+    key = path, added, remember
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(path, remember, added)
+    return _ENCODERS[key]
 
 
 def encode_batches(
-    batches: Iterator[pa.RecordBatch], path: str, added: bool = False
+    batches: Iterator[pa.RecordBatch], path: str, added: bool = False, remember: int = REMEMBER
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the ids and offsets of their column ``text``."""
-    encode = encoder(path, added).encode
+    encode = encoder(path, added, remember).encode
     for batch in batches:
         for start, stop in runs(batch.column("text"), 4 << 20):
             part = batch.slice(start, stop - start)
             yield part, *encode(part.column("text"))
 
 
-def id_type(path: str, added: bool = False) -> np.dtype:
+def id_type(path: str, added: bool = False, remember: int = REMEMBER) -> np.dtype:
     """Two bytes for an id where the vocabulary allows it, else four."""
-    return np.dtype("<u2") if encoder(path, added).vocabulary <= 1 << 16 else np.dtype("<u4")
+    return np.dtype("<u2") if encoder(path, added, remember).vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
 def binaries(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -259,16 +262,17 @@ def binaries(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return array.cast(pa.binary())
 
 
-def token_ids(docs: DataFrame, path: str, added: bool = False) -> DataFrame:
+def token_ids(docs: DataFrame, path: str, added: bool = False, remember: int = REMEMBER) -> DataFrame:
     """``doc_id, ids``: little-endian ids of every whole text, END_ID last.
 
     A null text counts as empty, so its ids are END_ID alone.  ``added`` reads
-    added tokens in the texts as the library does by default.
+    added tokens in the texts as the library does by default.  A worker remembers
+    pieces up to ``remember`` bytes.
     """
 
     def run(batches):
-        kind = id_type(path, added)
-        for part, ids, offsets in encode_batches(batches, path, added):
+        kind = id_type(path, added, remember)
+        for part, ids, offsets in encode_batches(batches, path, added, remember):
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), binaries(ids.astype(kind), offsets)],
                 names=["doc_id", "ids"],
