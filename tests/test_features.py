@@ -299,3 +299,22 @@ def test_lookup_plan(spark, capsys):
     assert "GreaterThanOrEqual(freq,24)" in plan
     assert "right_freedom" not in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 10, 1 << 22])
+def test_statistics_do_not_depend_on_the_filter(spark, bits):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcde", k=60)) for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "clause string")
+    grams = ngrams.count_ngrams(df, 4).cache()
+    maybe = freedom.word_filter(grams, 3, 20, bits)
+    frequent = grams.where("freq >= 20 and length(word) between 2 and 3")
+    assert frequent.where(~maybe(F.col("word"))).count() == 0
+    if bits == 1 << 22:  # few words share a bit of very many
+        rest = grams.where("freq < 20 and length(word) between 2 and 3")
+        assert rest.where(maybe(F.col("word"))).count() <= 2
+    got = {tuple(r) for r in freedom.word_statistics(grams, 3, 20, bits=bits).where("length(word) > 1").collect()}
+    plain = freedom.freedom(frequent, grams).select("word", "freq", "right_freedom", "left_freedom", "freedom")
+    assert got == {tuple(r) for r in plain.collect()} and got
+    nothing = freedom.word_statistics(grams.where("false"), 3, 20, bits=bits)
+    assert nothing.count() == 0

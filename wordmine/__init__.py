@@ -10,6 +10,7 @@ from wordmine.plans.discover import (
 from wordmine.plans.learning import apply_rules, learn_rules, read_rules, write_rules
 from wordmine.sources import (
     read_corpus,
+    read_stages,
     read_words,
     write_ranked,
     write_stages,
@@ -26,6 +27,7 @@ __all__ = [
     "learn_rules",
     "read_corpus",
     "read_rules",
+    "read_stages",
     "read_words",
     "write_ranked",
     "write_rules",

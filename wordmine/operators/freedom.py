@@ -9,12 +9,17 @@ get hot.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmine.functions.measures import entropy
 from wordmine.functions.text import PAD
 
+#: Bits that tell words that may be frequent from those that are not: half a megabyte.
+FILTER_BITS = 1 << 22
+
 
 def _stem(side: str) -> Column:
     """The entry without the neighbour on ``side``."""
@@ -87,18 +92,47 @@ def freedom(candidates: DataFrame, grams: DataFrame) -> DataFrame:
     )
 
 
+def word_filter(grams: DataFrame, max_len: int, min_freq: int, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test that holds for every frequent word of 2 to ``max_len`` characters.
+
+    It also holds for some others: each word sets one of ``bits`` bits (a multiple
+    of 64) that its hash names.  The bits are one array, of a size that does not
+    grow with the corpus, which comes to the tasks with the plan.
+    """
+    place = lambda word: F.pmod(F.xxhash64(word), F.lit(bits))
+    frequent = grams.where((F.col("freq") >= min_freq) & F.length("word").between(2, max_len))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    slots = frequent.select(place(F.col("word")).alias("place")).groupBy(F.shiftright("place", 6).alias("slot"))
+    slots = slots.agg(F.bit_or(bit).alias("set"))
+    every = grams.sparkSession.range(bits // 64).withColumnRenamed("id", "slot").join(slots, "slot", "left")
+    row = F.struct("slot", F.coalesce("set", F.lit(0).cast("bigint")).alias("set"))
+    table = every.agg(F.array_sort(F.collect_list(row)).getField("set").alias("sets")).scalar()
+
+    def maybe(word: Column) -> Column:
+        at = place(word)
+        return F.getbit(table[F.shiftright(at, 6).cast("int")], at.bitwiseAND(63).cast("int")) == 1
+
+    return maybe
+
+
 def word_statistics(
-    grams: DataFrame, max_len: int, min_freq: int, pad: str | None = None
+    grams: DataFrame,
+    max_len: int,
+    min_freq: int,
+    pad: str | None = None,
+    bits: int = FILTER_BITS,
 ) -> DataFrame:
     """Frequency and freedom of all frequent entries in one grouping.
 
     Every dictionary entry reports to up to three words: to itself with its
     frequency, and to its two stems as one of their neighbours.  One shuffle on
-    the word then replaces two groupings and two joins, and the dictionary is
-    read once and never stored.  The result holds the entries up to ``max_len``
-    characters with ``freq >= min_freq`` and all single characters (whose
-    frequencies add up to the corpus length); it is also the dictionary that
-    cohesion needs, since a part is at least as frequent as the whole.
+    the word then replaces two groupings and two joins.  Stems that are surely not
+    frequent (``word_filter``) get no reports, as nothing is asked of them; so
+    ``grams`` is read twice and should be a stored table.  The result holds the
+    entries up to ``max_len`` characters with ``freq >= min_freq`` and all single
+    characters (whose frequencies add up to the corpus length); it is also the
+    dictionary that cohesion needs, since a part is at least as frequent as the
+    whole.
 
     Entries containing ``pad`` are neighbours only.  Single characters are no
     candidates; their freedom is not computed and null.
@@ -108,6 +142,7 @@ def word_statistics(
     is_word = (size <= max_len) & ((F.col("freq") >= min_freq) | (size == 1))
     # Stems of one character are no candidates, their freedom is not needed.
     is_neighbour = (size >= 3) & (size <= max_len + 1)
+    asked = word_filter(grams, max_len, min_freq, bits)
 
     def report(when: Column, to: Column, role: int) -> Column:
         return F.struct(F.when(when, to).alias("word"), F.lit(role).alias("role"))
@@ -118,6 +153,7 @@ def word_statistics(
         report(is_neighbour, _stem("left"), 2),
     )
     rows = grams.select("freq", F.inline(reports)).where(F.col("word").isNotNull())
+    rows = rows.where((F.col("role") == 0) | asked(F.col("word")))
     if pad is not None:
         rows = rows.where(~F.col("word").contains(pad))
     role = F.col("role")
@@ -140,7 +176,8 @@ def freedom_padded(
     """Freedom with text ends counted as a neighbour, of words of length 2..w.
 
     With the pads in the dictionary every occurrence has a neighbour on each
-    side, so the neighbour counts of a word add up to its frequency.
+    side, so the neighbour counts of a word add up to its frequency.  The
+    dictionary is read twice (see ``word_statistics``).
     """
     stats = word_statistics(padded_grams, w, min_freq, pad)
     return stats.where((F.length("word") > 1) & (F.col("freq") >= min_freq))

@@ -21,6 +21,7 @@ from wordmine.queries import (
     RULE_DEPTH,
     SCORE_WEIGHTS,
     STOPWORD_FREQ,
+    TOP,
 )
 
 # Fixed values, written out here again so that a slip in the code would show.
@@ -471,6 +472,22 @@ def all_oracles() -> dict[str, str]:
         "discover_padded_cjk": _on_cjk(
             _with("pfree pcoh", _PADDED_RULE).replace(f"[^{LATIN}]", "[^一-龥]")
         ),
+        "top_freedom": _with(
+            "feat",
+            f"{_ranked('freedom', 'round(freedom, 6) AS freedom')} ORDER BY rank LIMIT {TOP}",
+        ),
+        "top_freq": _with(
+            "cand",
+            f"""
+            SELECT row_number() OVER (ORDER BY freq DESC, word) AS rank, word, freq
+            FROM cand ORDER BY rank LIMIT {TOP}""",
+        ),
+        "corpus_figures": _with(
+            "grams tl",
+            """
+            SELECT count(*) AS kinds, sum(freq)::BIGINT AS occurrences,
+                   (SELECT total FROM tl) AS characters FROM grams""",
+        ),
         "learn_rules": _rules_sql(RULE_DEPTH),
         "learn_rules_pruned": _rules_sql(
             GROWN_DEPTH,

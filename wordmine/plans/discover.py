@@ -2,7 +2,8 @@
 
 All plans share one shape:
 
-1. clauses are counted, cut into n-grams and the n-grams counted;
+1. clauses are counted, cut into n-grams and the n-grams counted; this dictionary
+   is stored, since the filter of frequent words is made from it first;
 2. one more grouping gives frequency and freedom of every frequent n-gram;
    this table is small next to the corpus and is written to the shared
    folder (``materialize``), as it is read several times from here on;
@@ -42,13 +43,22 @@ def frequent_words(
 
     ``ngram_len`` is the longest n-gram counted, by default one more than the
     longest word so that these have neighbours, too.  With ``unified`` letters
-    are lower-cased and all digits written as 0-9 first.  The table is stored at
-    once, so this and every job below run a Spark job before they return.
+    are lower-cased and all digits written as 0-9 first.  The dictionary and the table
+    are stored at once, so this and every job below run Spark jobs before they return.
     """
     if unified:
         df = unify(df, case=True, digits=True)
-    grams = corpus_ngrams(df, ngram_len or max_len + 1)
-    return materialize(word_statistics(grams, max_len, min_freq))
+    grams = stored_dictionary(corpus_ngrams(df, ngram_len or max_len + 1))
+    return materialize(word_statistics(grams, max_len, min_freq), stage="frequent")
+
+
+def stored_dictionary(grams: DataFrame) -> DataFrame:
+    """A dictionary, stored; its figures are the occurrences of all n-grams and the corpus length."""
+    freq, alone = F.col("freq"), F.length("word") == 1
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return materialize(
+        grams, stage="ngrams", occurrences=total(freq), characters=total(F.when(alone, freq))
+    )
 
 
 def total_of(frequent: DataFrame) -> Column:
@@ -135,7 +145,7 @@ def discover_v3(
     frequent = frequent_words(df, max_len, min_freq, unified=unified)
     candidates = filters.candidates_v3(frequent, stopwords, max_len, min_freq)
     words = filters.positive_freedom(candidates)
-    table = materialize(features(words, frequent, max_len))
+    table = materialize(features(words, frequent, max_len), stage="features")
     if stages_dir is not None:
         stages = {
             "left_freedom": candidates.select("word", "freq", "left_freedom"),
@@ -188,8 +198,8 @@ def padded_features(
     texts = df.select("text")
     if unified:
         texts = unify(texts, case=True, digits=True)
-    grams = padded_ngrams(wash(texts, alphabet), max_len)
-    frequent = materialize(word_statistics(grams, max_len, min_freq, PAD))
+    grams = stored_dictionary(padded_ngrams(wash(texts, alphabet), max_len))
+    frequent = materialize(word_statistics(grams, max_len, min_freq, PAD), stage="frequent")
     words = filters.by_length_freq(frequent, max_len, min_freq)
     found = cohesion(
         words.select("word", "freq", "freedom"),

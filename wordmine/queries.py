@@ -27,7 +27,7 @@ from wordmine.plans.learning import (
     rules_table,
     write_rules,
 )
-from wordmine.session import materialize, new_folder, running_sums
+from wordmine.session import figures, materialize, new_folder, running_sums
 from wordmine.sources import read_corpus, read_words, sinks
 from wordmine.sources.corpus import java_charsets
 
@@ -37,6 +37,7 @@ MAX_LEN = 5
 MIN_FREQ = 24
 MIN_FREEDOM = 1.0
 STOPWORD_FREQ = 24
+TOP = 100
 RULE_DEPTH = 3
 GROWN_DEPTH, CONFIDENCE = 5, 0.25
 COHESION_LOW, COHESION_HIGH = 20.0, 500.0
@@ -212,8 +213,8 @@ def sink_stages(spark, sf):
     path = new_folder(spark, "sink")
     counts = frequent_counts(spark, sf)
     sinks.write_stages({"words": candidates(counts), "characters": ngrams.unigrams(counts)}, path)
-    read = lambda stage: spark.read.parquet(f"{path}/{stage}").withColumn("stage", F.lit(stage))
-    return read("words").unionByName(read("characters"))
+    words, characters = (df.withColumn("stage", F.lit(name)) for name, df in sinks.read_stages(spark, path).items())
+    return words.unionByName(characters)
 
 
 @query
@@ -371,7 +372,7 @@ def freedom(spark, sf):
 
 @query
 def freedom_padded(spark, sf):
-    grams = ngrams.padded_ngrams(washed(spark, sf).select("text"), PADDED_LEN)
+    grams = materialize(ngrams.padded_ngrams(washed(spark, sf).select("text"), PADDED_LEN))
     return rounded(fr.freedom_padded(grams, PADDED_LEN, PADDED_FREQ))
 
 
@@ -522,7 +523,7 @@ def rule_band(spark, sf):
 
 @query
 def rule_envelope(spark, sf):
-    table = materialize(features(spark, sf))
+    table = materialize(features(spark, sf))  # read for the limits and for the rule
     limits = lexicon.lexicon_envelope(table, lexicon_words(spark, sf))
     return rounded(rules.select_envelope(table, limits))
 
@@ -632,6 +633,25 @@ def rank_freedom(spark, sf):
     return rounded(ranked.select("rank", "word", "freedom"))
 
 
+@query
+def top_freedom(spark, sf):
+    return rounded(ranking.top(features(spark, sf).select("word", "freedom"), "freedom", TOP))
+
+
+@query
+def top_freq(spark, sf):
+    return ranking.top(candidates(frequent_counts(spark, sf)), "freq", TOP)
+
+
+@query
+def corpus_figures(spark, sf):
+    """What was observed while the dictionary was stored."""
+    with figures() as stages:
+        plans.stored_dictionary(dictionary(spark, sf))
+    seen = {c: stages[0][c] for c in ("rows", "occurrences", "characters")}
+    return spark.createDataFrame([tuple(seen.values())], "kinds long, occurrences long, characters long")
+
+
 # Whole jobs
 
 

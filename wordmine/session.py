@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from time import perf_counter
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Owners of stored tables, innermost last: each is a list of paths.
@@ -68,17 +69,51 @@ def new_folder(spark: SparkSession, kind: str = "table") -> str:
     return path
 
 
-def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
+#: Figures being collected, innermost last: each is a list of stages.
+_FIGURES: list[list[dict]] = []
+
+
+@contextmanager
+def figures() -> Iterator[list[dict]]:
+    """Collect the figures of the stages that are stored inside, one dict each::
+
+        with figures() as stages:
+            words = discover_v2(docs, stopwords)
+        # [{'stage': 'ngrams', 'rows': ..., 'occurrences': ..., 'characters': ..., 'seconds': ...}, ...]
+
+    The counts are observed while a stage is written, so no job runs for them.
+    """
+    own: list[dict] = []
+    _FIGURES.append(own)
+    try:
+        yield own
+    finally:
+        _FIGURES.remove(own)
+
+
+def materialize(
+    df: DataFrame, compression: str = "snappy", stage: str | None = None, **counts: Column
+) -> DataFrame:
     """Write ``df`` to the shared folder and return it read back.
 
     Used where one result feeds several later steps.  The written table
     survives lost executors, is read column by column, and tells the planner
     its true size, so that Spark broadcasts it only below its own limit.  This
     runs a job at once, and so does every function that calls it.
+
+    Inside ``figures`` the rows of a named ``stage``, and aggregates given as
+    ``counts``, are observed as it is written.
     """
     spark = df.sparkSession
     path = new_folder(spark)
-    df.write.option("compression", compression).parquet(path)
+    written, seen, start = df, None, perf_counter()
+    if stage is not None and _FIGURES:
+        seen = Observation()
+        written = df.observe(seen, F.count("*").alias("rows"), *[c.alias(n) for n, c in counts.items()])
+    written.write.option("compression", compression).parquet(path)
+    if seen is not None:
+        seconds = round(perf_counter() - start, 3)
+        _FIGURES[-1].append({"stage": stage, **seen.get, "seconds": seconds})
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Names the tables of a set of stages, one to a line.
+MANIFEST = "stages.txt"
+
 
 def write_words(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write selected words; an existing path is refused."""
@@ -14,9 +18,49 @@ def write_words(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_stages(stages: Mapping[str, DataFrame], folder: str) -> None:
-    """Write each named intermediate table below ``folder``."""
-    for name, df in stages.items():
-        write_words(df, f"{folder.rstrip('/')}/{name}")
+    """Write each named intermediate table below ``folder``, all of them or none.
+
+    The tables are written aside first.  Only when the last one is complete they
+    move to their places, and a manifest that names them is written at the very end;
+    a set without one is not read (``read_stages``).  If a table fails, what was
+    written aside is deleted.  An existing table or manifest is refused.
+    """
+    if not stages:
+        return
+    spark = next(iter(stages.values())).sparkSession
+    folder = folder.rstrip("/")
+    aside = f"{folder}/_{uuid.uuid4().hex}"
+    path, fs = _file_system(spark, folder)
+    for name in (*stages, MANIFEST):
+        if fs.exists(path(f"{folder}/{name}")):
+            raise FileExistsError(f"{folder}/{name} exists")
+    try:
+        for name, df in stages.items():
+            write_words(df, f"{aside}/{name}")
+        for name in stages:
+            if not fs.rename(path(f"{aside}/{name}"), path(f"{folder}/{name}")):
+                raise OSError(f"{folder}/{name} could not be put in place")
+    finally:
+        fs.delete(path(aside), True)
+    out = fs.create(path(f"{folder}/{MANIFEST}"), False)
+    out.write(bytearray("\n".join(stages).encode()))
+    out.close()
+
+
+def read_stages(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a complete set, by name."""
+    folder = folder.rstrip("/")
+    path, fs = _file_system(spark, folder)
+    if not fs.exists(path(f"{folder}/{MANIFEST}")):
+        raise FileNotFoundError(f"{folder} holds no complete set of stages")
+    names = [r["value"] for r in spark.read.text(f"{folder}/{MANIFEST}").collect()]
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
+def _file_system(spark: SparkSession, folder: str):
+    """What makes paths, and the file system of ``folder``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def write_ranked(df: DataFrame, path: str) -> None:
