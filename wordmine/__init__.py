@@ -8,6 +8,7 @@ from wordmine.plans.discover import (
     discover_v31,
 )
 from wordmine.plans.learning import apply_rules, learn_rules, read_rules, write_rules
+from wordmine.plans.store import DictionaryStore
 from wordmine.sources import (
     read_corpus,
     read_stages,
@@ -18,6 +19,7 @@ from wordmine.sources import (
 )
 
 __all__ = [
+    "DictionaryStore",
     "apply_rules",
     "discover_padded",
     "discover_v1",

@@ -542,6 +542,7 @@ def all_oracles() -> dict[str, str]:
             "grams", "SELECT reverse(word) AS word, freq FROM grams"
         ),
         "ngram_freq": _with("grams", "SELECT word, freq FROM grams"),
+        "ngram_freq_increments": _with("grams", "SELECT word, freq FROM grams"),
         "shingle_freq": _with("pcand", "SELECT word, freq FROM pcand"),
         "corpus_length": _with("tl", "SELECT total FROM tl"),
         "unigrams": _with("grams", _where("grams", "length(word) = 1")),

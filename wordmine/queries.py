@@ -27,6 +27,7 @@ from wordmine.plans.learning import (
     rules_table,
     write_rules,
 )
+from wordmine.plans.store import DictionaryStore
 from wordmine.session import figures, materialize, new_folder, running_sums
 from wordmine.sources import read_corpus, read_words, sinks
 from wordmine.sources.corpus import java_charsets
@@ -330,6 +331,22 @@ def ngram_freq(spark, sf):
     return dictionary(spark, sf)
 
 
+@query
+def ngram_freq_increments(spark, sf):
+    """The same from a store to which the documents came in three parts, some twice."""
+    path = new_folder(spark, "increments")
+    docs = documents(spark, sf)
+    parts = [f"{path}/{k}" for k in range(3)]
+    for k, part in enumerate(parts):
+        docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k).write.parquet(part)
+    store = DictionaryStore(spark, new_folder(spark, "store"), MAX_LEN + 1, fmt="parquet")
+    store.add(parts[0])
+    store.add(parts[:2])
+    store.compact()
+    store.add(parts)
+    return store.dictionary()
+
+
 @query
 def shingle_freq(spark, sf):
     rows = ngrams.shingles(washed(spark, sf).select("text"), PADDED_LEN)

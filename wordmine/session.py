@@ -51,11 +51,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def file_system(spark: SparkSession, folder: str):
+    """What makes paths, and the file system that ``folder`` is on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it is on."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, fs = file_system(spark, path)
+    fs.delete(where(path), True)
 
 
 def new_folder(spark: SparkSession, kind: str = "table") -> str:

@@ -45,7 +45,7 @@ def _decoded(spark: SparkSession, lines: DataFrame, encoding: str, malformed: st
 
 def read_corpus(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     partitions: int | None = None,
     encoding: str = "UTF-8",
     fmt: str = "text",
@@ -54,7 +54,7 @@ def read_corpus(
     text_col: str = "text",
     malformed: str = "fail",
 ) -> DataFrame:
-    """Scan a corpus as ``(doc_id bigint, text string)``.
+    """Scan a corpus, one path or several, as ``(doc_id bigint, text string)``.
 
     ``fmt='text'``: one document per line, or per file with ``whole_files``.
     ``encoding`` may be any charset that keeps the newline byte for newlines

@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordmine.session import file_system
+
 #: Names the tables of a set of stages, one to a line.
 MANIFEST = "stages.txt"
 
@@ -30,7 +32,7 @@ def write_stages(stages: Mapping[str, DataFrame], folder: str) -> None:
     spark = next(iter(stages.values())).sparkSession
     folder = folder.rstrip("/")
     aside = f"{folder}/_{uuid.uuid4().hex}"
-    path, fs = _file_system(spark, folder)
+    path, fs = file_system(spark, folder)
     for name in (*stages, MANIFEST):
         if fs.exists(path(f"{folder}/{name}")):
             raise FileExistsError(f"{folder}/{name} exists")
@@ -50,19 +52,13 @@ def write_stages(stages: Mapping[str, DataFrame], folder: str) -> None:
 def read_stages(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of a complete set, by name."""
     folder = folder.rstrip("/")
-    path, fs = _file_system(spark, folder)
+    path, fs = file_system(spark, folder)
     if not fs.exists(path(f"{folder}/{MANIFEST}")):
         raise FileNotFoundError(f"{folder} holds no complete set of stages")
     names = [r["value"] for r in spark.read.text(f"{folder}/{MANIFEST}").collect()]
     return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
 
 
-def _file_system(spark: SparkSession, folder: str):
-    """What makes paths, and the file system of ``folder``."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def write_ranked(df: DataFrame, path: str) -> None:
     """Write words as CSV text in order of falling frequency.
 
