@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordmine.session import materialize
+
 BUCKETS = 1 << 15
 #: Mean log ratio from which a text is kept.
 LEAST_RATIO = -0.12
@@ -46,7 +48,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """``bucket, weight``: log ratio of the smoothed shares, counted over all documents.
 
     ``trusted`` holds the ``doc_id`` of trusted documents.  Without any, or without
-    words, every weight is 0.
+    words, every weight is 0.  The counts are stored at once.
     """
     ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("good", F.lit(1))
     if ids.count() <= BROADCAST_IDS:
@@ -63,6 +65,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         .join(F.broadcast(counted), "bucket", "left")
         .fillna(0)
     )
+    # Stored, as the totals and the weights both read it.
+    counted = materialize(counted)
     totals = counted.agg(F.sum("good").alias("good"), F.sum("raw").alias("raw")).first()
     extra = SMOOTHING * BUCKETS
     if not totals["good"]:
