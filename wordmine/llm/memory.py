@@ -10,6 +10,10 @@ import ctypes
 import gc
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Rows and bytes that are sent to a Python worker at once, at most.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 _MEMORIES: list[dict] = []
 
@@ -38,3 +42,16 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another allocator
         pass
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits for Arrow batches, if they are higher.
+
+    A batch is held by the executor and by the worker, and more than once while it
+    is taken apart.  The limits stay lowered, since plans read them when they run.
+    """
+    rows, size = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+    now = int(spark.conf.get(rows))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set(size, str(BATCH_BYTES))

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmine.llm.memory import memory, only
+from wordmine.llm.memory import memory, only, release
 from wordmine.llm.textbytes import IS_SPACE, runs, text_bytes
 
 #: Appended to every document.
 END_ID = 0
 #: Bytes of pieces that a worker remembers.  The rarer pieces are, the more it pays.
-REMEMBER = 48 << 20
+REMEMBER = 32 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("A") : ord("Z") + 1] = True
@@ -232,6 +232,7 @@ def encoder(path: str, added: bool = False, remember: int = REMEMBER) -> PieceEn
     key = path, added, remember
     if key not in _ENCODERS:
         _ENCODERS[key] = PieceEncoder(path, remember, added)
+        release()  # reading the file leaves much behind
     return _ENCODERS[key]
 
 
@@ -241,7 +242,7 @@ def encode_batches(
     """Slices of the batches with the ids and offsets of their column ``text``."""
     encode = encoder(path, added, remember).encode
     for batch in batches:
-        for start, stop in runs(batch.column("text"), 4 << 20):
+        for start, stop in runs(batch.column("text"), remember // 16):
             part = batch.slice(start, stop - start)
             yield part, *encode(part.column("text"))
 
