@@ -10,33 +10,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wordmine.llm import decontaminate, jaccard, langid, packing, pii
+from wordmine.llm.memory import small_batches
 from wordmine.llm.queries import vocabulary
 from wordmine.session import materialize, new_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters and those in no known language."""
+    small_batches(spark)
     return langid.keep_identified(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of every group."""
+    """Keep one row of every group, that with the smallest doc_id."""
+    small_batches(spark)
     return jaccard.keep_one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item, also with other values."""
+    small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.drop_contaminated(docs, benchmark)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts by its kind."""
+    small_batches(spark)
     return pii.mask(docs, pii.fit(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in a sequence."""
+    small_batches(spark)
     pieces = packing.token_pieces(docs, vocabulary("word_bpe_49k.json"), added=True)
     return packing.pack(materialize(pieces))
 
