@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordmine.llm.tokens import binaries, encode_batches
+from wordmine.llm.tokens import REMEMBER, binaries, encode_batches
 
 SIZE = 2048
 
@@ -31,7 +31,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(
-    docs: DataFrame, path: str, size: int = SIZE, keep_ids: bool = False, added: bool = False
+    docs: DataFrame, path: str, size: int = SIZE, keep_ids: bool = False, added: bool = False, remember: int = REMEMBER
 ) -> DataFrame:
     """The pieces of every whole text: ``doc_id, piece, start, length, ids_crc32``.
 
@@ -42,7 +42,7 @@ def token_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, offsets in encode_batches(batches, path, added):
+        for part, ids, offsets in encode_batches(batches, path, added, remember):
             ids = ids.astype("<u4")
             sizes = np.diff(offsets)
             n = -(-sizes // size)

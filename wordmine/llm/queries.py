@@ -55,7 +55,8 @@ def vocabulary(name: str) -> str:
 
 @query
 def op3_best_fit_packing(spark, sf):
-    pieces = packing.token_pieces(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), added=True)
+    path = vocabulary("word_bpe_49k.json")
+    pieces = packing.token_pieces(table(spark, sf, "documents"), path, added=True, remember=160 << 20)
     return packing.pack(materialize(pieces))
 
 
