@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+from itertools import product
+from random import Random
+
 from pyspark.sql import Row
 
 from wordmine.llm import decontaminate
@@ -79,6 +82,36 @@ def test_windows_that_fit_together():
     assert decontaminate._fitting(many + more + more) == [False] * 20 + [True] * 40
 
 
+
+def test_choices_against_exhaustive_search():
+    rng = Random(5)
+    for case in range(300):
+        values = rng.randrange(2, 6)
+        wide = rng.randrange(1, 4)
+        windows = [
+            tuple(sorted({a: rng.randrange(rng.randrange(1, 5)) for a in rng.sample(range(values), min(wide, values))}.items()))
+            for _ in range(rng.randrange(1, 25))
+        ]
+        groups = sorted({w: windows.count(w) for w in windows}.items())
+        fitting = lambda chosen: sum(n for g, n in groups if all(chosen[a] == b for a, b in g))
+        best = max(fitting(chosen) for chosen in product(range(4), repeat=values))
+        got, chosen = decontaminate._best(groups, 1000)
+        assert got == best, case
+        assert fitting({a: chosen.get(a) for a in range(values)}) == best
+        assert decontaminate._best(groups, 1000, best) is None
+        for enough in range(best):
+            assert enough <= decontaminate._best(groups, enough)[0] <= best
+
+
+def test_many_values_with_many_choices():
+    """Beyond any number of combinations that could be tried one by one."""
+    rng = Random(6)
+    v = lambda at, a, b: {"a": a, "b": b, "at": at, "named": False}
+    right = [[v(9 * k, k % 40, 1000 + k % 40), v(9 * k + 1, (k + 1) % 40, 1000 + (k + 1) % 40)] for k in range(80)]
+    other = [[v(9 * k + 4, k % 40, rng.randrange(6)), v(9 * k + 5, (k + 1) % 40, rng.randrange(6))] for k in range(80)]
+    assert decontaminate._fitting(right + other) == [True] * 80 + [False] * 80
+
+
 def test_names_that_open_sentences(spark):
     item = "Tom has 3 apples. Tom buys 5 more. How many apples does Tom have?"
     once = "Mary sold 48 clips in April and half as many in May so how many clips were sold"

@@ -14,9 +14,7 @@ this are left out; windows equal to the item's word by word always count.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from itertools import product
-from math import prod
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,17 +116,131 @@ def templates(
 
 
 _ROWS = "`{id}` long, pos long, n_windows long, hash long, slots array<long>, places array<long>, width long"
-#: Choices of document values up to which the best is looked for among all.
-_CHOICES = 256
 
 
-def _fitting(windows: list[list[dict]]) -> list[bool]:
+def _parts(groups: list[tuple[tuple, int]]) -> list[list[tuple[tuple, int]]]:
+    """The groups, split where they share no value of the item."""
+    root: dict[int, int] = {}
+
+    def top(a: int) -> int:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for g, _ in groups:
+        for a, _ in g:
+            root.setdefault(a, a)
+            root[top(a)] = top(g[0][0])
+    parts: dict[int, list] = defaultdict(list)
+    for group in groups:
+        parts[top(group[0][0][0])].append(group)
+    return list(parts.values())
+
+
+def _bound(groups: list[tuple[tuple, int]], order: dict[int, int]) -> int:
+    """At most so many windows fit: each is charged to the first of its values,
+    and of every value only the choice with the most windows counts."""
+    charged: dict[int, Counter] = defaultdict(Counter)
+    for g, n in groups:
+        a, b = min(g, key=lambda v: order[v[0]])
+        charged[a][b] += n
+    return sum(max(c.values()) for c in charged.values())
+
+
+def _best(
+    groups: list[tuple[tuple, int]], enough: int, more_than: int = -1
+) -> tuple[int, dict[int, int]] | None:
+    """The largest number of windows that fit together and the choices for it,
+    or any choices with which ``enough`` windows fit.
+
+    ``groups`` holds different sets of ``(value, choice)``, none of them empty, with
+    the number of their windows.  Parts without a common value are solved apart;
+    in a part the value in most windows is tried with each of its choices, the most
+    frequent first, and a choice is left as soon as its bound shows nothing better.
+    None if there is no solution with ``more_than`` windows and one more.
+    """
+    parts = _parts(groups)
+    weight: Counter = Counter()
+    for g, n in groups:
+        for a, _ in g:
+            weight[a] += n
+    order = {a: k for k, a in enumerate(sorted(weight, key=lambda a: (-weight[a], a)))}
+    bounds = [_bound(part, order) for part in parts]
+    open_bound, total, chosen = sum(bounds), 0, {}
+    for part, bound in zip(parts, bounds, strict=True):
+        open_bound -= bound
+        got = _best_of_part(part, order, enough - total, more_than - total - open_bound)
+        if got is None:
+            return None
+        total += got[0]
+        chosen.update(got[1])
+    return (total, chosen) if total > more_than else None
+
+
+def _best_of_part(
+    groups: list[tuple[tuple, int]], order: dict[int, int], enough: int, more_than: int
+) -> tuple[int, dict[int, int]] | None:
+    a = min({a for g, _ in groups for a, _ in g}, key=order.__getitem__)
+    choices: Counter = Counter()
+    for g, n in groups:
+        for v, b in g:
+            if v == a:
+                choices[b] += n
+    best = None
+    for b in sorted(choices, key=lambda b: (-choices[b], b)):
+        sure, rest = 0, Counter()
+        for g, n in groups:
+            left = tuple(v for v in g if v[0] != a)
+            if len(left) < len(g) and (a, b) not in g:
+                continue
+            if left:
+                rest[left] += n
+            else:
+                sure += n
+        rest = list(rest.items())
+        if sure + (_bound(rest, order) if rest else 0) <= more_than:
+            continue
+        got = _best(rest, enough - sure, more_than - sure) if rest else (0, {})
+        if got is not None and sure + got[0] > more_than:
+            more_than = sure + got[0]
+            best = more_than, {a: b, **got[1]}
+            if more_than >= enough:
+                break
+    return best
+
+
+def _improved(groups: list[tuple[tuple, int]], chosen: dict[int, int]) -> dict[int, int]:
+    """``chosen`` after changing one value at a time until no change lets more windows fit."""
+    among: dict[int, list] = defaultdict(list)
+    for g, n in groups:
+        for a, _ in g:
+            among[a].append((dict(g), n))
+    better = True
+    while better:
+        better = False
+        for a in sorted(among):
+            score = Counter()
+            for g, n in among[a]:
+                if all(chosen[v] == b for v, b in g.items() if v != a):
+                    score[g[a]] += n
+            if not score:
+                continue
+            b = min(score, key=lambda b: (-score[b], b))
+            if score[b] > score[chosen[a]]:
+                chosen[a], better = b, True
+    return chosen
+
+
+def _fitting(windows: list[list[dict]], enough: int = MIN_WINDOWS) -> list[bool]:
     """Which windows of one alignment count, given the values in their slots.
 
     A window with the item's own values counts always.  For the others one
     document value is chosen for each value of the item: for a name the one that
     stands against most of its occurrences (none if two do so equally), for a
-    number or unit the one that lets most windows count.
+    number or unit one by one the choice that lets most windows count.  If fewer
+    than ``enough`` count so, an exact search finds the choices with the most, or
+    some with which ``enough`` do; so no link is lost to the order of choosing.
     """
     seen: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
     named = set()
@@ -142,53 +254,47 @@ def _fitting(windows: list[list[dict]]) -> list[bool]:
     for a, values in sorted(seen.items()):
         ranked = sorted(values, key=lambda b: (-len(values[b]), b))
         if len(ranked) > 1 and a not in named:
-            free.append((a, ranked))
+            free.append(a)
         elif len(ranked) > 1 and len(values[ranked[0]]) == len(values[ranked[1]]):
             chosen[a] = None
             continue
         chosen[a] = ranked[0]
     # Windows with the same values stand or fall together.
     groups = Counter(frozenset((v["a"], v["b"]) for v in z) for z in windows)
-    open_values = {a for a, _ in free}
+    open_values = set(free)
     groups = {
         g: n for g, n in groups.items() if all(a in open_values or chosen[a] == b for a, b in g)
     }
 
-    def size() -> int:
-        return sum(n for g, n in groups.items() if all(chosen[a] == b for a, b in g))
-
-    if prod(len(r) for _, r in free) <= _CHOICES:
-        best = (-1, ())
-        for bs in product(*(r for _, r in free)):
-            chosen.update(zip((a for a, _ in free), bs, strict=True))
-            best = max(best, (size(), bs), key=lambda x: x[0])
-        chosen.update(zip((a for a, _ in free), best[1], strict=True))
-    else:  # one value after the other, until no change lets more windows count
-        now, better = size(), True
-        while better:
-            better = False
-            for a, ranked in free:
-                for b in ranked:
-                    old, chosen[a] = chosen[a], b
-                    new = size()
-                    if new > now:
-                        now, better = new, True
-                    else:
-                        chosen[a] = old
+    together: Counter = Counter()
+    for g, n in groups.items():
+        together[tuple(sorted(v for v in g if v[0] in open_values))] += n
+    together.pop((), None)
+    if together:
+        together = list(together.items())
+        chosen = _improved(together, chosen)
+        if sum(n for g, n in together if all(chosen[a] == b for a, b in g)) < enough:
+            chosen = _improved(together, chosen | _best(together, enough)[1])
     return [
         all(v["a"] == v["b"] for v in z) or all(chosen[v["a"]] == v["b"] for v in z) for z in windows
     ]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(enough: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The places that count of every alignment; ``z`` is null if all do."""
-    for batch in batches:
-        places = batch.column("places").to_pylist()
-        for i, z in enumerate(batch.column("z").to_pylist()):
-            if z is not None:
-                places[i] = [p for p, fits in zip(places[i], _fitting(z), strict=True) if fits]
-        columns = [pa.array(places, pa.list_(pa.int64())) if n == "places" else batch.column(n) for n in _ALIGNED]
-        yield pa.RecordBatch.from_arrays(columns, names=list(_ALIGNED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column("places").to_pylist()
+            for i, z in enumerate(batch.column("z").to_pylist()):
+                if z is not None:
+                    places[i] = [p for p, fits in zip(places[i], _fitting(z, enough), strict=True) if fits]
+            columns = [
+                pa.array(places, pa.list_(pa.int64())) if n == "places" else batch.column(n) for n in _ALIGNED
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=list(_ALIGNED))
+
+    return run
 
 
 _ALIGNED = {
@@ -291,7 +397,7 @@ def contaminated(
     """One row per document and benchmark item that it gives away.
 
     ``doc_id, item_id``, ``n_matched`` (windows of the item found with values
-    that fit along their alignment), ``n_windows`` (all of the item), ``reparameterised`` (some
+    that fit along their alignment; the most, or at least ``min_windows``), ``n_windows`` (all of the item), ``reparameterised`` (some
     placeholder stands for something else).  A pair counts from ``min_windows``
     on, or with all windows of a shorter item.  Null, empty and wordless texts
     match nothing; repeated rows of a document count once.
@@ -348,7 +454,7 @@ def contaminated(
         F.col("w.item_pos").alias("places"),
         F.when(broken, F.col("w.z")).alias("z"),
     )
-    aligned = aligned.mapInArrow(_counted, ", ".join(f"{n} {k}" for n, k in _ALIGNED.items()))
+    aligned = aligned.mapInArrow(_counted(min_windows), ", ".join(f"{n} {k}" for n, k in _ALIGNED.items()))
     per_pair = aligned.select("doc_id", "item_id", "n_windows", "changed", F.explode("places").alias("place"))
     per_pair = per_pair.groupBy("doc_id", "item_id").agg(
         F.size(F.collect_set("place")).cast("long").alias("n_matched"),
