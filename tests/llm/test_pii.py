@@ -97,6 +97,41 @@ def test_labels_reach_fifty_repetitions():
         assert [(k, text[s:e]) for k, s, e in added] == [(kind, value)] * 50
 
 
+def card(rng):
+    digits = "4" + "".join(rng.choices("0123456789", k=14))
+    return next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+
+
+def test_planted_variants(spark):
+    """Known values in other writings, among numbers that look alike but are others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id")
+    field = pii.fit(docs)
+    rng = random.Random(9)
+    plain_texts = [re.sub(r"[0-9@+]", "", r["text"]) for r in docs.limit(300).collect()]
+    wanted = found = false = 0
+    for k, filler in enumerate(plain_texts):
+        words = filler.split() or ["so"]
+        half = len(words) // 2
+        p, c = phone(rng), card(rng)
+        area = re.sub("[^0-9]", "", p)[1:]
+        name = f"{rng.choice(['ana', 'bo', 'li'])}.{rng.choice(['lopez', 'weber', 'smith'])}{k}"
+        first, again = [
+            (f"call {p} now", rng.choice([area, f"{area[:3]} {area[3:6]} {area[6:]}", f"({area[:3]}) {area[3:]}"])),
+            (f"pay with {c} please", ".".join(c[i : i + 4] for i in range(0, 16, 4))),
+            (f"mail {name}@mail.example.com today", name),
+        ][k % 3]
+        # Neither a match nor a repetition of one: other numbers of these sizes.
+        wrong = c[:-1] + str((int(c[-1]) + 1) % 10)
+        noise = f"order {wrong} of {rng.randrange(10**9, 10**10)} parts, {rng.randrange(10**6)} rows"
+        text = " ".join([*words[:half], first, *words[half:], "as said:", again, "and", noise])
+        added = pii.added_spans([text], [pii.base_spans(text)], field)[0]
+        got = [text[s:e] for _, s, e in added]
+        wanted += 1
+        found += again in got
+        false += sum(x != again for x in got)
+    assert found >= 0.9 * wanted and not false, (found, false, wanted)
+
+
 def test_messages_settle_along_a_chain():
     field = pii.Field()
     known = np.array([3] + [0] * 30)

@@ -140,7 +140,7 @@ def _features(text: str, start: int, end: int) -> list[int]:
 def _keys(value: str) -> tuple[str, str]:
     """Key of equal nodes and key of nodes of one shape; empty: none."""
     digits = _NOT_DIGIT.sub("", value)
-    if "@" in value or not digits:
+    if "@" in value or value[0].isalpha():
         name = value.split("@")[0].lower()
         return ("@" + name if len(name) > 3 else ""), ""
     if len(digits) < 7:
@@ -149,6 +149,21 @@ def _keys(value: str) -> tuple[str, str]:
     return "#" + digits[-8:], shape if len(shape) > 8 else ""
 
 
+def _same(kind: int, value: str, match: str) -> bool:
+    """Whether ``value`` may be the data of a match, written in another way.
+
+    A number of a card has the same digits; a phone number may lack what stands
+    before the area, or have a zero there; a name is that of the address.
+    """
+    if kind == 0:
+        return value.split("@")[0].lower() == match.split("@")[0].lower()
+    one, other = (_NOT_DIGIT.sub("", x) for x in (value, match))
+    if kind == 3:
+        one, other = sorted((one.lstrip("0"), other.lstrip("0")), key=len)
+        return len(one) >= 7 and other.endswith(one) and "@" not in value
+    return one == other and "@" not in value
+
+
 Graph = tuple[list[tuple[int, int]], list[list[int]], list[int], list[tuple[int, int, int]]]
 
 
@@ -157,12 +172,11 @@ def graph(text: str, base: list[Span], most: int | None = None) -> Graph:
     places = [(m.start(), m.end()) for m in _NODE.finditer(text)]
     names = {text[s:e].split("@")[0].lower() for k, s, e in base if k == 0}
     if names:
-        taken = sorted((s, e) for _, s, e in base)
-        mails = [(s, e) for s, e in places]
-        for m in _WORD.finditer(text):
-            if m[0].rstrip(".").lower() in names:
-                places.append((m.start(), m.start() + len(m[0].rstrip("."))))
-        places = _without_overlaps(sorted(places), taken, mails)
+        said = [(m.start(), m.start() + len(m[0].rstrip("."))) for m in _WORD.finditer(text)]
+        said = [(s, e) for s, e in said if text[s:e].lower() in names]
+        mails = [(s, e) for s, e in places if "@" in text[s:e]]
+        said = _outside(said, mails + [(s, e) for _, s, e in base])
+        places = sorted(said + _outside(places, said))
     places = places[:most]
     known, at = [0] * len(places), 0
     ordered = sorted(base, key=lambda x: x[1])
@@ -174,6 +188,13 @@ def graph(text: str, base: list[Span], most: int | None = None) -> Graph:
             if places[at][1] > start:
                 known[at] = kind + 1
             at += 1
+
+    def repeats(a: int, b: int) -> bool:
+        if (known[a] > 0) == (known[b] > 0):
+            return False
+        node, match = (a, b) if known[b] else (b, a)
+        return _same(known[match] - 1, *(text[slice(*places[x])] for x in (node, match)))
+
     edges, last, equal = [], {}, {}
     for k, (start, end) in enumerate(places):
         if k and start - places[k - 1][1] <= 24:
@@ -181,7 +202,7 @@ def graph(text: str, base: list[Span], most: int | None = None) -> Graph:
         for kind, key in enumerate(_keys(text[start:end]), 1):
             if key:
                 if (kind, key) in last:
-                    edges.append((last[kind, key], k, kind))
+                    edges.append((last[kind, key], k, 3 if kind == 1 and repeats(last[kind, key], k) else kind))
                 last[kind, key] = k
                 if kind == 1:
                     equal.setdefault(key, []).append(k)
@@ -192,24 +213,22 @@ def graph(text: str, base: list[Span], most: int | None = None) -> Graph:
                 at = int(np.searchsorted(sure, i))
                 near = min(sure[max(0, at - 1) : at + 1], key=lambda x: abs(x - i))
                 if abs(near - i) > 1:
-                    edges.append((*sorted((group[near], k)), 1))
+                    edges.append((*sorted((group[near], k)), 3 if repeats(group[near], k) else 1))
     return places, [_features(text, s, e) for s, e in places], known, edges
 
 
-def _without_overlaps(places, taken, mails):
-    """Names of addresses count only outside of other nodes and of matches."""
-    blocked = sorted(taken + mails)
-    starts = [s for s, _ in blocked]
-    own = set(mails)
-    out = []
+def _outside(places: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places that overlap none of ``others``."""
+    others = sorted(others)
+    starts = [s for s, _ in others]
+    # The matches of different kinds may overlap; so far reaches any that starts before.
+    reach = np.maximum.accumulate([e for _, e in others]).tolist() if others else []
+    free = []
     for s, e in places:
-        if (s, e) not in own:
-            at = int(np.searchsorted(starts, e)) - 1
-            if any(b[1] > s and b[0] < e for b in blocked[max(0, at - 2) : at + 1]):
-                continue
-        if not out or out[-1] != (s, e):
-            out.append((s, e))
-    return out
+        at = int(np.searchsorted(starts, e)) - 1
+        if at < 0 or reach[at] <= s:
+            free.append((s, e))
+    return free
 
 
 # The field
@@ -229,9 +248,11 @@ class Field:
 
     @staticmethod
     def prior() -> np.ndarray:
-        """Edge weights before any data: equal nodes agree, those of one shape lean to."""
+        """Edge weights before any data: equal nodes agree, those of one shape lean to,
+        and a node that holds the data of a match has its label."""
         k = len(LABELS)
-        return np.stack([np.zeros((k, k)), 5.0 * np.eye(k), 0.5 * np.eye(k)])
+        same = np.eye(k)
+        return np.stack([np.zeros((k, k)), 5.0 * same, 0.5 * same, 12.0 * same])
 
     def potentials(self, features: list[list[int]]) -> np.ndarray:
         if not features:
@@ -320,7 +341,7 @@ def fit_field(graphs: list[tuple[list[list[int]], list[int], list[tuple[int, int
     share = 1.0 / np.maximum(np.bincount(known, minlength=len(LABELS)), 1)
     weight = share[known] / share[known].sum() * len(known)
     a, b, kind = edges.T
-    strong = kind == 1
+    strong = (kind == 1) | (kind == 3)
     unsure = np.zeros(len(known), bool)
     for x, y in ((a[strong], b[strong]), (b[strong], a[strong])):
         unsure[x[(known[x] == 0) & (known[y] > 0)]] = True
@@ -353,19 +374,12 @@ def fit_field(graphs: list[tuple[list[list[int]], list[int], list[tuple[int, int
 # Texts
 
 
-def _plausible(kind: int, value: str, linked: bool) -> bool:
-    digits = len(_NOT_DIGIT.sub("", value))
-    if kind == 0:
-        return "@" in value[1:-1] or linked
-    if kind == 1:
-        return value.count(".") == 3 and digits == len(value) - 3
-    if kind == 2:
-        return 12 <= digits <= 19 and digits > len(value) * 0.7
-    return 7 <= digits <= 15
-
-
 def added_spans(texts: list[str], bases: list[list[Span]], field: Field) -> list[list[Span]]:
-    """Spans that the field adds to those of the patterns, text by text."""
+    """Spans that the field adds to those of the patterns, text by text.
+
+    Only a node that holds the data of a match of its kind in the same text, in
+    whatever writing, becomes a span.
+    """
     graphs = [graph(t, b) for t, b in zip(texts, bases, strict=True)]
     edges, first, features, known = [], [], [], []
     for places, f, k, e in graphs:
@@ -377,9 +391,9 @@ def added_spans(texts: list[str], bases: list[list[Span]], field: Field) -> list
         return [[] for _ in texts]
     known, edges = np.array(known), np.array(edges, np.int64).reshape(-1, 3)
     belief, _ = field.marginals(_clamped(field.potentials(features), known), edges, settle=True)
-    strong = edges[edges[:, 2] == 1]
-    linked = np.zeros(len(features), bool)
-    linked[strong[:, :2].ravel()] = True
+    linked = np.zeros((len(features), len(LABELS)), bool)
+    for a, b, _ in edges[edges[:, 2] == 3].tolist():
+        linked[(a, known[b]) if known[b] else (b, known[a])] = True
     best = belief.argmax(1)
     sure = (belief[np.arange(len(best)), best] >= SURE) & (best > 0) & (known == 0)
     out = []
@@ -392,7 +406,7 @@ def added_spans(texts: list[str], bases: list[list[Span]], field: Field) -> list
             kind = int(best[start + k]) - 1
             at = int(np.searchsorted(begins, e)) - 1
             free = not any(y > s for _, y in taken[max(0, at - 4) : at + 1])
-            if free and _plausible(kind, text[s:e], linked[start + k]):
+            if free and linked[start + k, kind + 1]:
                 own.append((kind, s, e))
         out.append(own)
     return out
