@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,16 +60,21 @@ def cohesion(
     total: Column,
     max_len: int,
     cap: float | None = None,
+    lookup: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add ``cohesion`` to words of length 2..``max_len``.
 
     The minimum over all splits of ``freq * total / left / right``; ``cap`` is
     an upper limit.  ``grams`` may leave out entries rarer than the rarest
-    word.  ``total`` is a column, for instance a scalar subquery.
+    word.  ``total`` is a column, for instance a scalar subquery.  ``lookup`` may
+    find the frequencies of the parts of words in another way than in ``grams``.
     """
     words = words.where(F.length("word").between(2, max_len))
     scaled = words.withColumn("_scaled", F.col("freq").cast("double") * total)
-    found = lookup_freq(parts(scaled), grams)
+    if lookup is None:
+        found = lookup_freq(parts(scaled), grams)
+    else:
+        found = lookup(words).withColumn("_scaled", F.col("freq").cast("double") * total)
     k, side, freq = F.col("k"), F.col("side"), F.col("part_freq")
     freqs, strengths = [], []
     for i in range(1, max_len):

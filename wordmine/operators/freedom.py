@@ -59,14 +59,18 @@ def left_freedom(grams: DataFrame) -> DataFrame:
     return _one_side(grams, "left")
 
 
-def extensions(words: DataFrame, grams: DataFrame, side: str = "right") -> DataFrame:
-    """All one-character extensions: ``(word, extension, extension_freq)``."""
-    longer = grams.where(F.length("word") > 1).select(
+def stems(grams: DataFrame, side: str) -> DataFrame:
+    """Every entry as an extension of its stem: ``(word, extension, extension_freq)``."""
+    return grams.where(F.length("word") > 1).select(
         _stem(side).alias("word"),
         F.col("word").alias("extension"),
         F.col("freq").alias("extension_freq"),
     )
-    return words.select("word").join(longer, "word")
+
+
+def extensions(words: DataFrame, grams: DataFrame, side: str = "right") -> DataFrame:
+    """All one-character extensions: ``(word, extension, extension_freq)``."""
+    return words.select("word").join(stems(grams, side), "word")
 
 
 def freedom(candidates: DataFrame, grams: DataFrame) -> DataFrame:
@@ -75,8 +79,13 @@ def freedom(candidates: DataFrame, grams: DataFrame) -> DataFrame:
     A side without neighbours counts as 0.
     """
     # Only neighbours of the candidates are grouped.
+    return freedom_of(candidates, lambda side: extensions(candidates, grams, side))
+
+
+def freedom_of(candidates: DataFrame, extended: Callable[[str], DataFrame]) -> DataFrame:
+    """The same, given the extensions of the candidates on a side."""
     right, left = (
-        extensions(candidates, grams, side)
+        extended(side)
         .withColumnRenamed("extension_freq", "freq")
         .groupBy("word")
         .agg(_entropy_of().alias(f"{side}_freedom"))

@@ -564,25 +564,35 @@ def all_oracles() -> dict[str, str]:
             f"SELECT {_rounded('word freq *right_freedom *left_freedom *freedom')} "
             f"FROM free WHERE {_IS_CANDIDATE}",
         ),
+        "freedom_indexed": _with(
+            "free",
+            f"SELECT {_rounded('word freq *right_freedom *left_freedom *freedom')} "
+            f"FROM free WHERE {_IS_CANDIDATE}",
+        ),
         "freedom_padded": _with(
             "pfree",
             f"SELECT {_rounded('word freq *right_freedom *left_freedom *freedom')} "
             "FROM pfree",
         ),
         "extensions_right": _with("cand grams", _extension(_RIGHT)),
+        "extensions_indexed": _with("cand grams", _extension(_RIGHT)),
         "extensions_left": _with("cand grams", _extension(_LEFT)),
-        "part_freq": _with(
-            "cand grams",
-            f"""
-            SELECT s.word, s.freq, s.k::INTEGER AS k, s.side, s.part,
-                   g.freq AS part_freq
-            FROM (SELECT word, freq, k, 'left' AS side, lp AS part
-                  FROM ({_splits('cand')})
-                  UNION ALL
-                  SELECT word, freq, k, 'right', rp FROM ({_splits('cand')})) s
-            JOIN grams g ON g.word = s.part""",
+        **dict.fromkeys(
+            ("part_freq", "part_freq_indexed"),
+            _with(
+                "cand grams",
+                f"""
+                SELECT s.word, s.freq, s.k::INTEGER AS k, s.side, s.part,
+                       g.freq AS part_freq
+                FROM (SELECT word, freq, k, 'left' AS side, lp AS part
+                      FROM ({_splits('cand')})
+                      UNION ALL
+                      SELECT word, freq, k, 'right', rp FROM ({_splits('cand')})) s
+                JOIN grams g ON g.word = s.part""",
+            ),
         ),
         "cohesion": _with("coh", "SELECT word, freq, cohesion FROM coh"),
+        "cohesion_indexed": _with("coh", "SELECT word, freq, cohesion FROM coh"),
         "cohesion_capped": _with("pcoh", "SELECT word, freq, cohesion FROM pcoh"),
         "features_v1": _with(
             "feat_all stops", _pick(f"freq > {MIN_FREQ} AND {_STOPPED}", "feat_all")

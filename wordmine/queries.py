@@ -18,6 +18,7 @@ from wordmine.operators import association as assoc
 from wordmine.operators import cohesion as coh
 from wordmine.operators import freedom as fr
 from wordmine.plans import discover as plans
+from wordmine.plans.index import DictionaryIndex, build_index
 from wordmine.plans.learning import (
     FEATURES,
     apply_rules,
@@ -405,6 +406,42 @@ def extensions_left(spark, sf):
     return fr.extensions(candidates(grams), grams, "left")
 
 
+# Lookups in an index
+
+
+def _indexed(spark, grams: DataFrame) -> DictionaryIndex:
+    """An index of ``grams`` and of the parts of its candidates, below the shared folder.
+
+    It stays open, as the results are read later.
+    """
+    return build_index(grams, candidates(grams), new_folder(spark, "index"))
+
+
+@query
+def extensions_indexed(spark, sf):
+    index = _indexed(spark, materialize(dictionary(spark, sf)))
+    return index.extensions(candidates(index.words()), "right")
+
+
+@query
+def freedom_indexed(spark, sf):
+    index = _indexed(spark, materialize(dictionary(spark, sf)))
+    return rounded(index.freedom(candidates(index.words())))
+
+
+@query
+def part_freq_indexed(spark, sf):
+    index = _indexed(spark, frequent_counts(spark, sf))
+    return index.part_freq(candidates(index.words()))
+
+
+@query
+def cohesion_indexed(spark, sf):
+    index = _indexed(spark, frequent_counts(spark, sf))
+    words = index.words()
+    return index.cohesion(candidates(words), plans.total_of(words), MAX_LEN)
+
+
 # Cohesion
 
 
