@@ -7,6 +7,7 @@ from wordmine.plans.discover import (
     discover_v3,
     discover_v31,
 )
+from wordmine.plans.index import DictionaryIndex, build_index
 from wordmine.plans.learning import apply_rules, learn_rules, read_rules, write_rules
 from wordmine.plans.store import DictionaryStore
 from wordmine.sources import (
@@ -19,8 +20,10 @@ from wordmine.sources import (
 )
 
 __all__ = [
+    "DictionaryIndex",
     "DictionaryStore",
     "apply_rules",
+    "build_index",
     "discover_padded",
     "discover_v1",
     "discover_v2",
