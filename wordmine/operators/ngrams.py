@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmine.functions import text as tx
+from wordmine.functions.packed import counting
 from wordmine.operators.clean import weighted_clauses
 
 
@@ -41,11 +42,31 @@ def _prefixes(windows: DataFrame, longest: int | None = None) -> DataFrame:
     )
 
 
-def explode_ngrams(clauses: DataFrame, n: int, col: str = "clause") -> DataFrame:
+def _different(df: DataFrame, by: str, col: str, n: int, least: int, prefixes: bool, name: str) -> DataFrame:
+    """Windows that occur in the texts of each ``by``: ``by, <name>, n, whole, digest``."""
+    kind = dict(df.dtypes)[by]
+    rows = df.select(F.col(by).alias("key"), col).mapInArrow(
+        counting(n, least, prefixes, digest=True),
+        f"key {kind}, word string, n long, whole boolean, digest long",
+    )
+    return rows.withColumnsRenamed({"key": by, "word": name})
+
+
+def explode_ngrams(
+    clauses: DataFrame, n: int, col: str = "clause", by: str | None = None
+) -> DataFrame:
     """All substrings of length 1..n, one row per occurrence, as ``word``.
 
     Other columns (a document id, a weight) are kept.
+
+    With ``by``, a column whose equal values stand together in one partition
+    (``session.together``), equal n-grams of a value of ``by`` are counted where
+    they are made, before any of them moves: ``by, word, n, whole, digest``, the
+    last one being the first 28 bits of the word's MD5.  Where ``whole`` is false
+    (``by`` has more text than a task handles at once), ``n`` has to be summed.
     """
+    if by is not None:
+        return _different(clauses, by, col, n, 1, True, "word")
     return _prefixes(_windows(clauses, col, n))
 
 

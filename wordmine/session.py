@@ -146,6 +146,11 @@ def running_sums(
     return out.withColumns(added).select(*df.columns, *added)
 
 
+def together(df: DataFrame, by: str) -> DataFrame:
+    """Bring the rows with equal ``by`` together: in one partition, one after the other."""
+    return df.repartition(by).sortWithinPartitions(by)
+
+
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Redistribute a scan that has too few splits to use the cluster.
 
