@@ -85,3 +85,26 @@ def test_the_query_ngrams_moves_texts_and_sums_only(spark, tmp_path):
             of = {w: c for w, c in counts.items() if len(w) == size}
             want[key, size] = (sum(of.values()), len(of), sum(c * digest(w) for w, c in of.items()))
     assert {k: v for k, v in got.items() if k[0] != 2} == want
+
+
+def test_the_query_shingles_moves_texts_and_sums_only(spark, tmp_path):
+    rows = [(1, "ab abc"), (None, "x"), (1, "abababababab"), (None, "x-"), (2, ""), (3, None)]
+    df = all_queries()["shingles"](spark, write(spark, tmp_path, rows))
+    exchanges = [x for x in plan(df).splitlines() if "hashpartitioning" in x]
+    assert exchanges and not any(", s#" in x for x in exchanges)
+    got = {r["doc_id"]: (r["occurrences"], r["kinds"], r["squares"], r["digest"]) for r in df.collect()}
+    want = {}
+    for key in (1, None):
+        counts = Counter()
+        for text in (t for k, t in rows if k == key):
+            text = "".join(c for c in text if c.isalpha())
+            counts.update((text + "\x01" * 6)[i : i + 7] for i in range(len(text)))
+        n = counts.values()
+        want[key] = (sum(n), len(n), sum(x * x for x in n), sum(x * digest(w) for w, x in counts.items()))
+    assert got == want
+
+
+def test_shingles_by_document(spark):
+    df = together(spark.createDataFrame([(1, "aba"), (1, "aba"), (2, "")], "doc_id long, text string"), "doc_id")
+    rows = ngrams.shingles(df, 2, by="doc_id").collect()
+    assert {(r["doc_id"], r["s"]): r["n"] for r in rows} == {(1, "aba"): 2, (1, "ba\x01"): 2, (1, "a\x01\x01"): 2}

@@ -100,11 +100,17 @@ def corpus_ngrams(df: DataFrame, n: int, text_col: str = "text") -> DataFrame:
 
 
 def shingles(
-    washed: DataFrame, w: int, pad: str = tx.PAD, col: str = "text"
+    washed: DataFrame, w: int, pad: str = tx.PAD, col: str = "text", by: str | None = None
 ) -> DataFrame:
-    """One substring of width w+1 per position, padded at the end, as ``s``."""
+    """One substring of width w+1 per position, padded at the end, as ``s``.
+
+    With ``by``, equal ones are counted as in ``explode_ngrams``: ``by, s, n, whole,
+    digest``.
+    """
     more = F.when(F.col(col) != "", F.lit(pad * w)).otherwise("")
     padded = washed.withColumn(col, F.concat(F.col(col), more))
+    if by is not None:
+        return _different(padded, by, col, w + 1, w + 1, False, "s")
     return _windows(padded, col, w + 1).where(F.length("s") == w + 1)
 
 
