@@ -108,3 +108,13 @@ def test_shingles_by_document(spark):
     df = together(spark.createDataFrame([(1, "aba"), (1, "aba"), (2, "")], "doc_id long, text string"), "doc_id")
     rows = ngrams.shingles(df, 2, by="doc_id").collect()
     assert {(r["doc_id"], r["s"]): r["n"] for r in rows} == {(1, "aba"): 2, (1, "ba\x01"): 2, (1, "a\x01\x01"): 2}
+
+
+def test_padded_ngrams_are_counted_before_they_move(spark):
+    texts = ["abab", "", None, "蝴蝶飞蝴蝶\U0001f600", "b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    grams = ngrams.padded_ngrams(df, 3)
+    assert plan(grams).count("Exchange") == 1 and "Generate" not in plan(grams)
+    want = model.ngrams([f"\x01{t}\x01" for t in texts if t], 4)
+    del want["\x01"]
+    assert {r["word"]: r["freq"] for r in grams.collect()} == want

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text whose windows are sorted at once.
-SLICE = 4_000_000
+SLICE = 8_000_000
 #: Rows of a batch that goes back to Spark.
 ROWS = 100_000
 
@@ -42,9 +42,12 @@ def points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _strings(chars: np.ndarray) -> pa.Array:
     """A string for each row of characters; zeros are left out."""
+    if chars.dtype == np.uint8 and chars.all():
+        offsets = np.arange(len(chars) + 1, dtype=np.int32) * np.int32(chars.shape[1])
+        return pa.StringArray.from_buffers(len(chars), pa.py_buffer(offsets), pa.py_buffer(chars.tobytes()))
     used = chars != 0
     width = used.astype(np.int64)
-    for limit in (0x80, 0x800, 0x10000):
+    for limit in (0x80, 0x800, 0x10000) if chars.dtype != np.uint8 else ():
         width += chars >= limit
     offsets = np.concatenate(([0], np.cumsum(width.sum(1)))).astype(np.int32)
     flat = chars[used]
@@ -55,21 +58,6 @@ def _strings(chars: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(chars), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
-def _columns(owner: np.ndarray, codes: list[np.ndarray], bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """``owner`` and the characters of each window, sorted by both."""
-    n = len(codes)
-    if int(owner.max()).bit_length() + n * bits <= 64:
-        packed = owner.astype(np.uint64)
-        for c in codes:
-            packed = (packed << np.uint64(bits)) | c
-        packed.sort()
-        mask = np.uint64((1 << bits) - 1)
-        own = packed >> np.uint64(n * bits)
-        return own, [((packed >> np.uint64(bits * (n - 1 - k))) & mask).astype(np.uint32) for k in range(n)]
-    order = np.lexsort((*reversed(codes), owner))
-    return owner[order], [c[order] for c in codes]
-
-
 def window_counts(
     owner: np.ndarray,
     chars: np.ndarray,
@@ -86,36 +74,67 @@ def window_counts(
     out.  With ``prefixes``, all prefixes of ``least`` to n characters are counted.
     Windows begin in the range ``places``.
     """
-    at = np.arange(*places)
-    text = np.searchsorted(begins, at, "right") - 1 if places[0] else np.repeat(np.arange(len(owner)), np.diff(begins))
-    text = text[: len(at)]
-    left = begins[text + 1] - at
-    enough = left >= least
-    left, at, own = left[enough], at[enough], owner[text[enough]]
-    if not len(at):
+    lo, hi = places
+    # Where j characters are left of a text, j < n.
+    ends = [begins[1:][np.diff(begins) >= j] - j - lo for j in range(1, n)]
+    ends = [e[(e >= 0) & (e < hi - lo)] for e in ends]
+    enough = np.ones(hi - lo, bool)
+    for e in ends[: least - 1]:
+        enough[e] = False
+    own = np.repeat(owner, np.diff(begins))[lo:hi][enough]
+    if not len(own):
         return
     seen = np.zeros(int(chars.max()) + 1, bool)
     seen[chars] = True
-    alphabet = np.concatenate(([0], np.flatnonzero(seen))).astype(np.uint32)
+    alphabet = np.concatenate(([0], np.flatnonzero(seen)))
+    alphabet = alphabet.astype(np.uint8 if alphabet[-1] < 128 else np.uint32)
     code = np.zeros(len(seen), np.uint32)
     code[alphabet[1:]] = np.arange(1, len(alphabet))
-    code = np.concatenate((code[chars], np.zeros(n, np.uint32)))
-    windows = [np.where(left > k, code[at + k], np.uint32(0)) for k in range(n)]
-    own, windows = _columns(own, windows, len(alphabet).bit_length())
-    new = np.ones(len(own), bool)
-    new[1:] = own[1:] != own[:-1]
-    for k, c in enumerate(windows, 1):
-        new[1:] |= c[1:] != c[:-1]
-        if k < (least if prefixes else n):
-            continue
-        first = np.flatnonzero(new)
+    code = np.concatenate((code[chars[lo : hi + n]], np.zeros(n, np.uint32)))
+
+    def window(k: int) -> np.ndarray:
+        out = code[k : k + hi - lo].copy()
+        for e in ends[:k]:
+            out[e] = 0
+        return out
+
+    bits = len(alphabet).bit_length()
+    if int(owner.max()).bit_length() + n * bits <= 64:
+        packed = np.repeat(owner, np.diff(begins))[lo:hi].astype(np.uint64)
+        for k in range(n):
+            packed <<= np.uint64(bits)
+            packed |= window(k)
+        packed = packed if least == 1 else packed[enough]
+        packed.sort()
+        mask = np.uint64((1 << bits) - 1)
+        own_at = lambda at: packed[at] >> np.uint64(n * bits)
+        char_at = lambda k, at: packed[at] >> np.uint64(bits * (n - 1 - k)) & mask
+        # The highest bit in which neighbours differ tells where they part.
+        apart = packed[1:] ^ packed[:-1]
+        parts = lambda k: apart >= np.uint64(1 << bits * (n - k))
+    else:
+        columns = [window(k)[enough] for k in range(n)]
+        order = np.lexsort((*reversed(columns), own))
+        own, columns = own[order], [c[order] for c in columns]
+        own_at = lambda at: own[at]
+        char_at = lambda k, at: columns[k][at]
+        apart = np.full(len(own) - 1, n)
+        for k in reversed(range(n)):
+            apart[columns[k][1:] != columns[k][:-1]] = k
+        apart[own[1:] != own[:-1]] = -1
+        parts = lambda k: apart < k
+    for k in range(least if prefixes else n, n + 1):
+        first = np.concatenate(([0], np.flatnonzero(parts(k)) + 1))
         count = np.diff(first, append=len(own))
         if prefixes:
-            full = c[first] != 0
+            full = char_at(k - 1, first) != 0
             first, count = first[full], count[full]
         for x in range(0, len(first), ROWS):
             part = first[x : x + ROWS]
-            yield own[part], _strings(alphabet[np.stack([w[part] for w in windows[:k]], 1)]), count[x : x + ROWS]
+            chars_of = np.empty((len(part), k), alphabet.dtype)
+            for j in range(k):
+                chars_of[:, j] = alphabet[char_at(j, part)]
+            yield own_at(part), _strings(chars_of), count[x : x + ROWS]
 
 
 _TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
@@ -189,7 +208,7 @@ def counting(n: int, least: int, prefixes: bool, digest: bool = False):
 
     Returns ``key, word, n, whole``, and ``digest`` if asked for.  Where ``whole``,
     no other row has the same key and word; the windows of a key with more than
-    a slice of text come in several rows.  Without keys, rows are partial counts.
+    a slice of text come in several rows.  Without keys: ``word, n``, counts of a slice.
     """
 
     def windows(table: pa.Table, open_key, carried: bool) -> Iterator[pa.RecordBatch]:

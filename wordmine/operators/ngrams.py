@@ -134,11 +134,13 @@ def padded_ngrams(
     """Dictionary of length 1..w+1 in which each text end counts as a character.
 
     Every text gets one pad in front and one behind; an n-gram holding a pad
-    only says which neighbour the rest of it had.
+    only says which neighbour the rest of it had.  Whole texts have many windows,
+    so equal n-grams of a slice of texts are counted before they become rows.
     """
     # An empty text becomes two pads; what that gives is dropped below.
     padded = washed.select(F.concat(F.lit(pad), F.col(col), F.lit(pad)).alias(col))
-    grams = _dictionary(padded, col, w + 1, F.lit(1))
+    counted = padded.mapInArrow(counting(w + 1, 1, True), "word string, n long")
+    grams = counted.groupBy("word").agg(F.sum("n").alias("freq"))
     return grams.where(~F.col("word").isin(pad, pad * 2))
 
 
