@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from wordmine.llm import jaccard
@@ -137,3 +139,48 @@ def test_one_row_of_each_group(spark):
     assert kept((None, a), (8, a), (None, b), (None, b)) == [(8, a, 1), (None, b, 1)]
     # Nothing links to texts without words.
     assert kept((1, None), (1, None), (2, ""), (3, " ")) == [(1, None, 1), (1, None, 1), (2, "", 1), (3, " ", 1)]
+
+
+def test_sketches_never_tell_a_link_apart():
+    rng = np.random.default_rng(7)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+    pairs = []
+    for n in (1, 3, 40, 60, 70, 500, 5000, 40000):
+        a = draw(n)
+        for share in (0.0, 0.3, 0.6, 0.74, 0.8, 0.857, 0.9, 1.0):
+            pairs.append((a, np.unique(np.concatenate((a[: round(share * len(a))], draw(n - round(share * n)))))))
+            pairs.append((a[: max(1, round(share * len(a)))], a))
+    sets = [x for p in pairs for x in p]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    sketches = jaccard._sketches(np.concatenate(sets), offsets)
+    n = pa.array(np.diff(offsets))
+    ids = pa.array(np.arange(len(sets)))
+    columns = [x.take(pa.array(np.arange(side, len(sets), 2))) for x in (ids, n, sketches) for side in (0, 1)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["a", "b", "na", "nb", "sa", "sb"])
+    near = {r["a"] // 2 for out in jaccard._near_rows(iter([batch])) for r in out.to_pylist()}
+    link, far = set(), set()
+    for i, (a, b) in enumerate(pairs):
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 75 * (len(a) + len(b) - common):
+            link.add(i)
+        elif 500 <= len(a) <= 5000 and common < 0.4 * len(b):
+            far.add(i)
+    assert link and far and link <= near and not far & near
+
+
+def test_texts_are_fetched_for_near_pairs_only(spark, monkeypatch):
+    # The halves of a text and it share lists, but no half is near the whole.
+    text = [f"w{i}" for i in range(400)]
+    texts = [" ".join(text[a:b]) for a, b in ((0, 400), (0, 200), (200, 400), (1, 400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, sets, _ = jaccard._linked_sets(df)
+    sig = {r["rep"]: r["sig"] for r in sets.collect()}
+    every = spark.createDataFrame([(sig[a], sig[b]) for a in sig for b in sig if a < b], "a long, b long")
+    asked = []
+    fetch = jaccard._texts_of
+    monkeypatch.setattr(
+        jaccard, "_texts_of", lambda d, s, w: asked.extend(r["sig"] for r in w.collect()) or fetch(d, s, w)
+    )
+    links = {frozenset(r) for r in jaccard._probe(df, sets, every).collect()}
+    assert links == {frozenset((sig[0], sig[3]))}
+    assert set(asked) == {sig[0], sig[3]}

@@ -19,7 +19,8 @@ How the lists are spread over Spark:
    that it may share, and it is dropped where that is too small for any partner.
 3. Lists of at most ``LONG`` members are merged: pairs whose sizes, and shingles
    that they may share, fit are counted within the task and summed over the
-   tasks.  Pairs that reach ``need`` are probed.
+   tasks.  Pairs that reach ``need`` are probed: first by sketches, of about a bit
+   for each shingle, which tell most pairs that cannot link; then by their sets.
 4. What remains are the longer lists, most of them of one large group of near
    copies.  The members that share most are its hubs; the others are probed
    against them first, which joins the group.  Then only pairs are merged that
@@ -49,6 +50,8 @@ HOT_SHARE = 0.001
 LONG = 16
 #: Members of a long list that the others are probed against.
 HUBS = 2
+#: Bits of the sketch of a set: the power of two from its size on, within these limits.
+SKETCH_BITS = (64, 1 << 14)
 #: Ids up to which the texts to probe are picked by a broadcast (16 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -91,6 +94,49 @@ def _signatures(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sketches(shingles: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """For each set, which of its hash values an odd number of shingles has.
+
+    Two sketches of a length differ in no more bits than their sets in shingles.
+    Half as long a sketch is made by folding one.
+    """
+    n = np.diff(offsets)
+    least, most = SKETCH_BITS
+    bits = 1 << np.ceil(np.log2(np.clip(n, least, most))).astype(np.int64)
+    begins = np.concatenate(([0], np.cumsum(bits)))
+    mixed = shingles * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    owner = np.repeat(np.arange(len(n)), n)
+    at = begins[owner] + (mixed & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    data = np.packbits((np.bincount(at, minlength=begins[-1]) & 1).astype(np.uint8))
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(n), [None, pa.py_buffer((begins // 8).astype(np.int32)), pa.py_buffer(data.tobytes())]
+    )
+
+
+def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs ``a, b`` without those whose sketches differ too much for a link."""
+    for batch in batches:
+        a, b, na, nb, *sketches = batch.columns
+        both = np.asarray(na).astype(np.int64) + np.asarray(nb)
+        sizes = [np.array([len(x) for x in s.to_pylist()], np.int64) for s in sketches]
+        keep = np.zeros(len(both), bool)
+        for x, y in np.unique(np.stack(sizes, 1), axis=0).tolist():
+            own = np.flatnonzero((sizes[0] == x) & (sizes[1] == y))
+            rows = [
+                np.frombuffer(b"".join(s.take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), -1)
+                for s in sketches
+            ]
+            while rows[0].shape[1] != rows[1].shape[1]:
+                rows.sort(key=lambda r: r.shape[1])
+                half = rows[1].shape[1] // 2
+                rows[1] = rows[1][:, :half] ^ rows[1][:, half:]
+            differ = np.bitwise_count(rows[0] ^ rows[1]).sum(1, dtype=np.int64)
+            keep[own] = (100 + PERCENT) * differ <= (100 - PERCENT) * both[own]
+        chosen = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([a.filter(chosen), b.filter(chosen)], names=["a", "b"])
+
+
 def least_overlap(n: np.ndarray) -> np.ndarray:
     """T: shingles of a set of ``n`` that any linked set shares."""
     return -(-PERCENT * n // 100)
@@ -110,14 +156,20 @@ def _slices(batches: Iterator[pa.RecordBatch]):
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of texts (doc_id, text_hash, sig, n), then rows of frequent shingles (hash, texts)."""
-    names = ["doc_id", "text_hash", "sig", "n", "hot"]
+    """Rows of texts (doc_id, text_hash, sig, n, sketch), then rows of frequent shingles (hot)."""
+    names = ["doc_id", "text_hash", "sig", "n", "hot", "sketch"]
     held, texts = {}, 0
     for part, shingles, offsets in _slices(batches):
         sig = _signatures(shingles, offsets)
         n = np.diff(offsets)
         yield pa.RecordBatch.from_arrays(
-            [*(part.column(c) for c in names[:2]), pa.array(sig), pa.array(n), pa.nulls(len(n), pa.int64())],
+            [
+                *(part.column(c) for c in names[:2]),
+                pa.array(sig),
+                pa.array(n),
+                pa.nulls(len(n), pa.int64()),
+                _sketches(shingles, offsets),
+            ],
             names=names,
         )
         distinct = np.unique(sig, return_index=True)[1]
@@ -134,6 +186,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             [
                 *[pa.nulls(len(hot), pa.int64())] * 4,
                 pa.array(np.array(hot, np.uint64).view(np.int64)),
+                pa.nulls(len(hot), pa.binary()),
             ],
             names=names,
         )
@@ -394,7 +447,13 @@ def _texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _probe(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of candidate pairs ``a, b`` of signatures, those that link."""
+    """Of candidate pairs ``a, b`` of signatures, those that link.
+
+    Texts are fetched only for pairs whose sketches are near enough.
+    """
+    of = sets.select("sig", "n", "sketch")
+    known = pairs.join(of.toDF("a", "na", "sa"), "a").join(of.toDF("b", "nb", "sb"), "b")
+    pairs = materialize(known.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near_rows, "a long, b long"))
     either = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig")))
     texts = _texts_of(docs, sets, either.distinct())
     joined = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("ta")), "a")
@@ -422,6 +481,7 @@ def jaccard_join(docs: DataFrame, block: int = 512) -> tuple[DataFrame, DataFram
     and no row in ``sets``; so have rows without a doc_id.
     """
     texts, sets, links = _linked_sets(docs, block)
+    sets = sets.select("sig", "rep", "copies")
     return texts, sets, _by_documents(links, sets)
 
 
@@ -429,11 +489,16 @@ def _linked_sets(docs: DataFrame, block: int = 512) -> tuple[DataFrame, DataFram
     """The same with links between signatures."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    kinds = "doc_id long, text_hash long, sig long, n long, hot long"
+    kinds = "doc_id long, text_hash long, sig long, n long, hot long, sketch binary"
     rows = materialize(hashed.mapInArrow(_signature_rows, kinds))
     texts = rows.where("hot is null").select("doc_id", "text_hash", "sig", "n")
-    known = texts.where("sig <> 0 and doc_id is not null")
-    sets = known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    known = rows.where("hot is null and sig <> 0 and doc_id is not null")
+    sets = known.groupBy("sig").agg(
+        F.min("doc_id").alias("rep"),
+        F.count("*").alias("copies"),
+        F.first("n").alias("n"),
+        F.first("sketch").alias("sketch"),
+    )
     sets = materialize(sets)
     hot = rows.where("hot is not null").select("hot").distinct().toPandas()["hot"]
     hot = np.sort(hot.to_numpy(np.int64).view(np.uint64))
